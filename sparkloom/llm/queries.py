@@ -4,21 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm import decontaminate, quality
+from sparkloom.llm import decontaminate, quality, token_counts, token_files
+from sparkloom.llm._shared import fresh_path
 from sparkloom.llm._text import read
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.assess(docs).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    written = token_files.write(docs, fresh_path(spark, "token-files"), WORD_BPE)
+    back = token_files.read_documents(token_files.read_index(spark, written), written)
+    return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark")).select("doc_id", *decontaminate.RESULT)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run of the query starts a cache of its own, so it encodes its whole table; jobs pass the folder they keep."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, WORD_BPE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op6_decontamination)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_token_files, op6_decontamination, op9_token_counts)}
