@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm import decontaminate, quality, token_counts, token_files
+from sparkloom.llm import byte_bpe, decontaminate, quality, token_counts, token_files
 from sparkloom.llm._shared import fresh_path
 from sparkloom.llm._text import read
 
@@ -15,6 +15,22 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_digests(docs)
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """doc_id with the number and digest of the ids of each text, and the digest of what they decode to."""
+    encoded = byte_bpe.encode(docs.select("doc_id", "text"), BYTE_BPE, public_tokenizers.PATTERN)
+    return byte_bpe.decode(encoded, BYTE_BPE).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.assess(docs).select("doc_id", *quality.COUNTS, "base_failed", "kept")
@@ -39,4 +55,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_token_files, op6_decontamination, op9_token_counts)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_quality_rules, op4_token_files, op6_decontamination, op9_token_counts)}
