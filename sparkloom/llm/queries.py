@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm import byte_bpe, decontaminate, quality, token_counts, token_files
-from sparkloom.llm._shared import fresh_path
+from sparkloom.llm import byte_bpe, chat_format, decontaminate, html_text, quality, token_counts, token_files
+from sparkloom.llm._shared import fresh_path, stored
 from sparkloom.llm._text import read
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -43,6 +43,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark")).select("doc_id", *decontaminate.RESULT)
@@ -54,5 +58,16 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, WORD_BPE)
 
 
+#: A conversation whose texts hold the template's own control strings.
+CONTROL_CASE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    more = spark.createDataFrame(CONTROL_CASE, "conv_id bigint, turn bigint, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select(*columns).unionByName(more)
+    return chat_format.read_back(stored(chat_format.format_conversations(turns), "chat"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_quality_rules, op4_token_files, op6_decontamination, op9_token_counts)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_quality_rules, op4_token_files, op5_html_text, op6_decontamination, op9_token_counts, op10_chat_format)}

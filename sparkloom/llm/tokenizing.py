@@ -13,6 +13,8 @@ import json
 import os
 from array import array
 
+import numpy as np
+
 #: The normaliser and splitter of files that drop white space between words.
 WHITE_SPACE_DROPPED = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -27,6 +29,8 @@ WHITE_SPACE_DROPPED = {
 
 CACHED_WORDS = 1_000_000
 CACHED_LENGTH = 64
+#: A control character that is no word of any text, as words that have it count among the long ones.
+MARK = "\x01"
 
 
 class JsonTokenizer:
@@ -46,21 +50,34 @@ class JsonTokenizer:
             a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] or any(c.isspace() for c in a["content"]) for a in made["added_tokens"]
         )
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.known: dict[bytes, bytes] = {}
         self.sizes: dict[bytes, int] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ask_words(self, words: list[bytes]) -> list[bytes]:
+        """As _ask, for short words: many go in one text, with a mark between them that none of them has."""
+        if self.mark is None:
+            return self._ask([w.decode() for w in words])
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join([w.decode() for w in words])], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
+        if len(ends) != len(words):
+            return self._ask([w.decode() for w in words])
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)]
+
     def _learn(self, words: list[list[bytes]]) -> dict[bytes, bytes]:
         if len(self.known) > CACHED_WORDS:
             self.known, self.sizes = {}, {}
         new = set().union(*words).difference(self.known)
-        long = {w for w in new if len(w) > CACHED_LENGTH}
+        long = {w for w in new if len(w) > CACHED_LENGTH or b"\x01" in w}  # asked for alone and not kept
         new = list(new - long)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.known.update(zip(part, self._ask([w.decode() for w in part]), strict=True))
+        for i in range(0, len(new), 1000):
+            part = new[i : i + 1000]
+            self.known.update(zip(part, self._ask_words(part), strict=True))
             self.sizes.update((w, len(self.known[w]) // 4) for w in part)
         return {w: self._ask([w.decode()])[0] for w in long}
 
@@ -73,7 +90,7 @@ class JsonTokenizer:
         if not long:
             get = self.known.__getitem__
             return [b"".join(map(get, w)) for w in words]
-        return [b"".join([long[x] if len(x) > CACHED_LENGTH else self.known[x] for x in w]) for w in words]
+        return [b"".join([long[x] if x in long else self.known[x] for x in w]) for w in words]
 
     def count(self, texts: list[bytes]) -> list[int]:
         if not self.by_word:
@@ -83,7 +100,7 @@ class JsonTokenizer:
         if not long:
             get = self.sizes.__getitem__
             return [sum(map(get, w)) for w in words]
-        return [sum([len(long[x]) // 4 if len(x) > CACHED_LENGTH else self.sizes[x] for x in w]) for w in words]
+        return [sum([len(long[x]) // 4 if x in long else self.sizes[x] for x in w]) for w in words]
 
 
 class PieceTokenizer:
