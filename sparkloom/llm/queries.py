@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm import byte_bpe, chat_format, decontaminate, html_text, quality, token_counts, token_files
+from sparkloom.llm import byte_bpe, chat_format, decontaminate, html_text, quality, token_counts, token_files, toxicity
 from sparkloom.llm._shared import fresh_path, stored
 from sparkloom.llm._text import read
 
@@ -31,6 +31,11 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.assess(docs).select("doc_id", *quality.COUNTS, "base_failed", "kept")
@@ -70,4 +75,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_quality_rules, op4_token_files, op5_html_text, op6_decontamination, op9_token_counts, op10_chat_format)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_quality_rules, op4_token_files, op5_html_text, op6_decontamination, op9_token_counts, op10_chat_format)}
