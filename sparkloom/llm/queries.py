@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm import byte_bpe, chat_format, decontaminate, html_text, near_duplicates, quality, token_counts, token_files, toxicity
+from sparkloom.llm import byte_bpe, chat_format, decontaminate, html_text, near_duplicates, quality, repeated_text, token_counts, token_files, toxicity
 from sparkloom.llm._shared import fresh_path, stored
 from sparkloom.llm._text import read
 
@@ -57,6 +57,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark")).select("doc_id", *decontaminate.RESULT)
 
 
+def op7_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = repeated_text.report(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -79,4 +84,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_quality_rules, op4_token_files, op5_html_text, op6_decontamination, op8_near_duplicates, op9_token_counts, op10_chat_format)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_quality_rules, op4_token_files, op5_html_text, op6_decontamination, op7_repeated_text, op8_near_duplicates, op9_token_counts, op10_chat_format)}
