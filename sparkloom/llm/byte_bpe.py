@@ -1,4 +1,8 @@
-"""Byte-level BPE by Spark higher-order functions over distinct words.
+"""Byte-level BPE: ranked merges folded over the bytes of distinct words.
+
+encode() has two styles with the same results. With style="words" each worker process folds the distinct words of its
+rows itself, keeps what it has folded (a bounded number of pieces) and puts the texts together; nothing is shuffled.
+With style="higher_order" the fold is one of Spark's higher-order functions:
 
 1. Texts are taken in bounded batches. A batch's texts become numbers of its distinct words (the matches of the
    pattern), and the batch's distinct words go out with the batch's key.
@@ -21,7 +25,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 import json
+import re
 import struct
 from array import array
 from collections.abc import Iterator
@@ -145,6 +151,10 @@ def _batches(rows: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[
         yield pa.Table.from_batches(held)
 
 
+#: White space that isn't a single space or line feed between other characters.
+_ODD_SPACE = re.compile(r"[^\S \n]|\s\s|^\s|\s\Z").search
+
+
 class _Splitter:
     """Numbers the distinct words of one batch.
 
@@ -154,7 +164,6 @@ class _Splitter:
 
     def __init__(self, pattern: str):
         self.find = regex.compile(pattern).findall
-        self.odd = regex.compile(r"[^\S \n]|\s\s|^\s|\s$").search
         self.words: dict[str, int] = {}
         self.spaced: dict[str, tuple[int, ...]] = {}
         self.plain: dict[str, tuple[int, ...]] = {}
@@ -166,7 +175,7 @@ class _Splitter:
     def split(self, text: str) -> list[int]:
         if not text:
             return []
-        if self.odd(text):
+        if _ODD_SPACE(text):
             return list(self.numbers(text))
         out: list[int] = []
         spaced, plain = self.spaced, self.plain
@@ -193,8 +202,118 @@ def _batch_key(task: int, number: int, words: list[bytes]) -> int:
     return int.from_bytes(digest.digest(), "little", signed=True)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+KEPT_PIECES = 700_000
+
+
+def fold_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word: the neighbouring pieces whose union has the lowest rank are merged until none has one."""
+    whole = ranks.get(word)
+    if whole is not None:
+        return [whole]
+    pieces = [word[i : i + 1] for i in range(len(word))]
+    if len(word) > 100:
+        return _fold_long(pieces, ranks)
+    get, none = ranks.get, NONE
+    near = [get(a + b, none) for a, b in zip(pieces, pieces[1:], strict=False)]
+    while near and (low := min(near)) < none:
+        i = near.index(low)
+        pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+        del near[i]
+        if i:
+            near[i - 1] = get(pieces[i - 1] + pieces[i], none)
+        if i < len(near):
+            near[i] = get(pieces[i] + pieces[i + 1], none)
+    return [ranks[p] for p in pieces]
+
+
+def _fold_long(pieces: list[bytes], ranks: dict[bytes, int]) -> list[int]:
+    """As fold_word with a heap of pairs, for words of any length."""
+    after, before = list(range(1, len(pieces) + 1)), list(range(-1, len(pieces) - 1))
+    pairs = [(ranks[a + b], i, a, b) for i, (a, b) in enumerate(zip(pieces, pieces[1:], strict=False)) if a + b in ranks]
+    heapq.heapify(pairs)
+    gone: list[bytes | None] = list(pieces)
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < len(gone) and (rank := ranks.get(gone[i] + gone[j])) is not None:
+            heapq.heappush(pairs, (rank, i, gone[i], gone[j]))
+
+    while pairs:
+        _, i, a, b = heapq.heappop(pairs)
+        j = after[i]
+        if gone[i] != a or j >= len(gone) or gone[j] != b:
+            continue
+        gone[i], gone[j] = a + b, None
+        after[i] = after[j]
+        if after[j] < len(gone):
+            before[after[j]] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    return [ranks[p] for p in gone if p is not None]
+
+
+class _WordFolder:
+    """Encodes texts piece by piece; see _Splitter for what a piece is."""
+
+    def __init__(self, ranks_path: str, pattern: str):
+        self.ranks = load_ranks(ranks_path)
+        self.find = regex.compile(pattern).findall
+        self.spaced: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+
+    def ids(self, piece: str) -> bytes:
+        ranks = self.ranks
+        return array("I", [i for w in self.find(piece) for i in fold_word(w.encode(), ranks)]).tobytes()
+
+    def text(self, text: str) -> bytes:
+        if not text or _ODD_SPACE(text):
+            return self.ids(text)
+        if len(self.spaced) + len(self.plain) > KEPT_PIECES:
+            self.spaced, self.plain = {}, {}
+        out = []
+        line_end = self._known(self.plain, "\n", "\n")
+        for n, line in enumerate(text.split("\n")):
+            if n:
+                out.append(line_end)
+            first, *pieces = line.split(" ")
+            out.append(self._known(self.plain, first, first))
+            try:
+                out.append(b"".join(map(self.spaced.__getitem__, pieces)))
+            except KeyError:
+                out += [self._known(self.spaced, p, " " + p) for p in pieces]
+        return b"".join(out)
+
+    def _known(self, store: dict[str, bytes], key: str, piece: str) -> bytes:
+        if key not in store:
+            if len(key) > 64:
+                return self.ids(piece)
+            store[key] = self.ids(piece)
+        return store[key]
+
+
+@functools.cache
+def _folder(ranks_path: str, pattern: str) -> _WordFolder:
+    return _WordFolder(ranks_path, pattern)
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", style: str = "words", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """For every row of docs its columns without text, and ids binary (little-endian unsigned 32-bit integers)."""
+    if style == "higher_order":
+        return _encode_higher_order(docs, ranks_path, pattern, text, batch_bytes)
+    carried = docs.drop(text, "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = _folder(ranks_path, pattern)
+        for batch in batches:
+            for rows in tx.slices(batch, text):
+                ids = [folder.text(t or "") for t in rows.column(text).to_pylist()]
+                yield _with_columns(rows.select(carried.columns), {"ids": pa.array(ids, pa.binary())})
+
+    return docs.mapInArrow(run, _schema(carried, {"ids": "binary"}))
+
+
+def _encode_higher_order(docs: DataFrame, ranks_path: str, pattern: str, text: str, batch_bytes: int) -> DataFrame:
     carried = [c for c in docs.columns if c not in (text, "ids")]
     schema = docs.select(*carried).schema
 
