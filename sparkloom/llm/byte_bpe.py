@@ -302,13 +302,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", s
     if style == "higher_order":
         return _encode_higher_order(docs, ranks_path, pattern, text, batch_bytes)
     carried = docs.drop(text, "ids")
+    names = carried.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = _folder(ranks_path, pattern)
         for batch in batches:
             for rows in tx.slices(batch, text):
                 ids = [folder.text(t or "") for t in rows.column(text).to_pylist()]
-                yield _with_columns(rows.select(carried.columns), {"ids": pa.array(ids, pa.binary())})
+                yield _with_columns(rows.select(names), {"ids": pa.array(ids, pa.binary())})
 
     return docs.mapInArrow(run, _schema(carried, {"ids": "binary"}))
 
