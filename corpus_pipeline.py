@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm import decontaminate, quality
+from sparkloom.llm import decontaminate, near_duplicates, quality, repeated_text
 from sparkloom.llm._shared import stored
 from sparkloom.llm._text import read
+from sparkloom.llm.queries import bpe_digests
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -18,17 +19,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id stays."""
+    return near_duplicates.deduplicate(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes covered by a 200-byte string that also starts elsewhere go. Every document stays; n_chars follows its text."""
+    return repeated_text.remove(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark window occurs go."""
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
+def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left as token ids: doc_id, n_tokens, and digests of the ids and of what they decode to."""
+    return bpe_digests(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("byte_level_bpe", byte_level_bpe),
 ]
 
-#: Several stages can't be put in SQL; the pipeline is tested against a brute-force version.
+#: Byte-level BPE and order MinHash can't be put in SQL; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
