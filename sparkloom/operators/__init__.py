@@ -1 +1,7 @@
+"""Operators that Spark has no single call for."""
 
+from sparkloom.operators.joins import asof_join, range_join
+from sparkloom.operators.ranking import top_k_per_group
+from sparkloom.operators.sessions import sessions
+
+__all__ = ["asof_join", "range_join", "sessions", "top_k_per_group"]

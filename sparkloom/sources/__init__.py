@@ -1 +1,5 @@
+"""Reading and writing of tables."""
 
+from sparkloom.sources.tables import load, read_any, write_any
+
+__all__ = ["load", "read_any", "write_any"]

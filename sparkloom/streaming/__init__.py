@@ -1 +1,5 @@
+"""Structured Streaming jobs."""
 
+from sparkloom.streaming.events import distinct_events, running_totals, windowed_counts
+
+__all__ = ["distinct_events", "running_totals", "windowed_counts"]
