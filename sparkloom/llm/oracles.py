@@ -24,5 +24,41 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN m USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 
+def op3_quality_rules() -> str:
+    return r"""
+WITH d AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+       list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+     FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+g AS (SELECT doc_id, k, array_to_string(w[k : k + 7], ' ') AS s FROM d, unnest(range(1, len(w) - 6)) AS u(k)),
+h AS (SELECT doc_id, unnest(list(k)) AS k FROM g GROUP BY doc_id, s HAVING count(*) > 1),
+r AS (SELECT doc_id, count(DISTINCT x) AS n FROM h, unnest(range(k, k + 8)) AS u(x) GROUP BY doc_id),
+z AS (SELECT doc_id, count(*) AS n FROM d, unnest(range(2, len(w) + 1)) AS u(k) WHERE w[k] = w[k - 1] GROUP BY doc_id),
+f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+       CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+       CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+       len(lines) AS n_lines, coalesce(z.n, 0) AS stutter,
+       length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters
+     FROM d LEFT JOIN r USING (doc_id) LEFT JOIN z USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 25 * n_words OR 100 * upper > 50 * letters
+            OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 100 * n_dup_lines > 50 * n_lines OR 100 * stutter > 30 * n_words) AS kept
+FROM f"""
+
+
+def op10_chat_format() -> str:
+    return r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(text) + length(regexp_replace(text, '[^\\\[\]<>]', '', 'g')) AS body,
+      length(role) + length(regexp_replace(role, '[^\\\[\]<>\n]', '', 'g')) AS name FROM c)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN body + 6 ELSE body + name + 15 END) AS BIGINT) AS formatted_chars, false AS rewritten
+FROM e GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {f.__name__: f() for f in (op6_decontamination,)}
+    return {f.__name__: f() for f in (op3_quality_rules, op6_decontamination, op10_chat_format)}

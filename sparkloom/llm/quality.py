@@ -143,15 +143,16 @@ class Rule:
     rejects: Callable[[Slice], np.ndarray]
 
 
-def rules(max_symbols: float = 0.25, max_upper: float = 0.5, min_mean: float = 2.0, max_mean: float = 12.0, max_dup_lines: float = 0.5, max_stutter: float = 0.3) -> list[Rule]:
-    """The rules of the cascade; all thresholds are shares of words, letters or lines, or characters of a mean word."""
+def rules(symbols: int = 25, capitals: int = 50, mean_word: tuple[int, int] = (2, 12), dup_lines: int = 50, stutter: int = 30) -> list[Rule]:
+    """The rules of the cascade. Thresholds are per cent of words, letters or lines, and characters of a mean word."""
+    low, high = mean_word
     return [
         Rule("few_words", lambda s: s.get("n_words") < MIN_WORDS),
-        Rule("symbols", lambda s: s.get("n_symbols") > max_symbols * s.get("n_words")),
-        Rule("capitals", lambda s: s.get("upper") > max_upper * s.get("letters")),
-        Rule("mean_word", lambda s: (s.get("word_chars") < min_mean * s.get("n_words")) | (s.get("word_chars") > max_mean * s.get("n_words"))),
-        Rule("lines_again", lambda s: s.get("n_dup_lines") > max_dup_lines * s.get("n_lines")),
-        Rule("stutter", lambda s: s.get("stutter") > max_stutter * s.get("n_words")),
+        Rule("symbols", lambda s: 100 * s.get("n_symbols") > symbols * s.get("n_words")),
+        Rule("capitals", lambda s: 100 * s.get("upper") > capitals * s.get("letters")),
+        Rule("mean_word", lambda s: (s.get("word_chars") < low * s.get("n_words")) | (s.get("word_chars") > high * s.get("n_words"))),
+        Rule("lines_again", lambda s: 100 * s.get("n_dup_lines") > dup_lines * s.get("n_lines")),
+        Rule("stutter", lambda s: 100 * s.get("stutter") > stutter * s.get("n_words")),
         Rule("windows_again", lambda s: 100 * s.get("n_repeat_words") > REPEAT_PERCENT * s.get("n_words")),
     ]
 

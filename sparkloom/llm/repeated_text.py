@@ -401,9 +401,8 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with the repeated bytes taken out of their texts, in the columns of docs."""
-    clash = {f"_old_{c}": c for c in docs.columns if c in REPORT}
     made = report(docs, key, text, **options)
     body = F.try_validate_utf8(F.col("kept").cast("string"))
     # A cut can leave part of a character, which is dropped.
-    cleaned = F.coalesce(body, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
-    return made.withColumn("_text", cleaned).drop(*REPORT).withColumnsRenamed(clash).withColumnRenamed("_text", text).select(*docs.columns)
+    cleaned = F.coalesce(body, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
+    return made.select(*(cleaned.alias(c) if c == text else F.col(f"_old_{c}").alias(c) if c in REPORT else F.col(c) for c in docs.columns))
