@@ -346,11 +346,12 @@ def _encode_higher_order(docs: DataFrame, ranks_path: str, pattern: str, text: s
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), *(pa.array([pack.compress(c)], pa.binary()) for c in columns)], names=["batch", "numbers", "sizes", "rows"])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = docs.select(text).mapInArrow(words_of, "batch bigint, number int, word binary").repartition(n, "word")
+    same = docs.select(*carried, text)  # both uses read the same columns, so that they see the same rows in the same order
+    pairs = same.mapInArrow(words_of, "batch bigint, number int, word binary").repartition(n, "word")
     # The aggregate reads all columns of pairs, so that both sides of the join use one and the same exchange.
     words = pairs.groupBy("word").agg(F.min("batch").alias("batch"), F.min("number").alias("number"))
     known = pairs.join(encode_words(words, ranks_path).hint("merge"), "word").select("batch", "number", "ids")
-    texts = docs.select(*carried, text).mapInArrow(texts_of, "batch bigint, numbers binary, sizes binary, rows binary")
+    texts = same.mapInArrow(texts_of, "batch bigint, numbers binary, sizes binary, rows binary")
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
