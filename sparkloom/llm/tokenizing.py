@@ -27,7 +27,7 @@ WHITE_SPACE_DROPPED = {
     },
 }
 
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 1_300_000
 CACHED_LENGTH = 64
 #: A control character that is no word of any text, as words that have it count among the long ones.
 MARK = "\x01"
@@ -53,7 +53,6 @@ class JsonTokenizer:
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.known: dict[bytes, bytes] = {}
-        self.sizes: dict[bytes, int] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -71,14 +70,13 @@ class JsonTokenizer:
 
     def _learn(self, words: list[list[bytes]]) -> dict[bytes, bytes]:
         if len(self.known) > CACHED_WORDS:
-            self.known, self.sizes = {}, {}
+            self.known = {}
         new = set().union(*words).difference(self.known)
         long = {w for w in new if len(w) > CACHED_LENGTH or b"\x01" in w}  # asked for alone and not kept
         new = list(new - long)
-        for i in range(0, len(new), 1000):
-            part = new[i : i + 1000]
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
             self.known.update(zip(part, self._ask_words(part), strict=True))
-            self.sizes.update((w, len(self.known[w]) // 4) for w in part)
         return {w: self._ask([w.decode()])[0] for w in long}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -98,9 +96,9 @@ class JsonTokenizer:
         words = [t.split() for t in texts]
         long = self._learn(words)
         if not long:
-            get = self.sizes.__getitem__
-            return [sum(map(get, w)) for w in words]
-        return [sum([len(long[x]) // 4 if x in long else self.sizes[x] for x in w]) for w in words]
+            get = self.known.__getitem__
+            return [sum(map(len, map(get, w))) // 4 for w in words]
+        return [sum([len(long[x]) if x in long else len(self.known[x]) for x in w]) // 4 for w in words]
 
 
 class PieceTokenizer:
