@@ -20,6 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return (place if ":" in place else f"file://{place}").rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch. Spark's default of 10,000 rows is much memory where rows are whole texts.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a task holds of its rows at once, for the rest of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -31,6 +31,7 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -202,7 +203,7 @@ def _batch_key(task: int, number: int, words: list[bytes]) -> int:
     return int.from_bytes(digest.digest(), "little", signed=True)
 
 
-KEPT_PIECES = 700_000
+KEPT_PIECES = 400_000
 
 
 def fold_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -270,7 +271,8 @@ class _WordFolder:
         if not text or _ODD_SPACE(text):
             return self.ids(text)
         if len(self.spaced) + len(self.plain) > KEPT_PIECES:
-            self.spaced, self.plain = {}, {}
+            # Those that came first are the most frequent.
+            self.spaced, self.plain = (dict(islice(x.items(), KEPT_PIECES // 2)) for x in (self.spaced, self.plain))
         out = []
         line_end = self._known(self.plain, "\n", "\n")
         for n, line in enumerate(text.split("\n")):
@@ -297,11 +299,16 @@ def _folder(ranks_path: str, pattern: str) -> _WordFolder:
     return _WordFolder(ranks_path, pattern)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", style: str = "words", batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """For every row of docs its columns without text, and ids binary (little-endian unsigned 32-bit integers)."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", style: str = "words", batch_bytes: int = BATCH_BYTES, decoded: bool = False) -> DataFrame:
+    """For every row of docs its columns without text, and ids binary (little-endian unsigned 32-bit integers).
+
+    With decoded, also what the ids decode to, as decode() gives it; one worker process then does both.
+    """
     if style == "higher_order":
-        return _encode_higher_order(docs, ranks_path, pattern, text, batch_bytes)
-    carried = docs.drop(text, "ids")
+        encoded = _encode_higher_order(docs, ranks_path, pattern, text, batch_bytes)
+        return decode(encoded, ranks_path) if decoded else encoded
+    new = {"ids": "binary"} | ({"decoded": "binary"} if decoded else {})
+    carried = docs.drop(text, *new)
     names = carried.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,9 +316,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", s
         for batch in batches:
             for rows in tx.slices(batch, text):
                 ids = [folder.text(t or "") for t in rows.column(text).to_pylist()]
-                yield _with_columns(rows.select(names), {"ids": pa.array(ids, pa.binary())})
+                made = {"ids": pa.array(ids, pa.binary())}
+                if decoded:
+                    made["decoded"] = pa.array(concatenated(ids, ranks_path), pa.binary())
+                yield _with_columns(rows.select(names), made)
 
-    return docs.mapInArrow(run, _schema(carried, {"ids": "binary"}))
+    return docs.mapInArrow(run, _schema(carried, new))
 
 
 def _encode_higher_order(docs: DataFrame, ranks_path: str, pattern: str, text: str, batch_bytes: int) -> DataFrame:
@@ -394,17 +404,20 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     """encoded with decoded binary: the pieces of the ids, concatenated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(ranks_path)
-        get = pieces.__getitem__
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 rows = batch.slice(first, 512)
-                texts = [b"".join(map(get, array("I", x or b""))) for x in rows.column(ids).to_pylist()]
+                texts = concatenated(rows.column(ids).to_pylist(), ranks_path)
                 yield _with_columns(rows, {"decoded": pa.array(texts, pa.binary())})
 
     return encoded.mapInArrow(run, _schema(encoded, {"decoded": "binary"}))
 
 
+def concatenated(ids: list[bytes | None], ranks_path: str) -> list[bytes]:
+    get = _pieces(ranks_path).__getitem__
+    return [b"".join(map(get, array("I", x or b""))) for x in ids]
+
+
 @functools.cache
 def _pieces(path: str) -> dict[int, bytes]:
     return {rank: piece for piece, rank in load_ranks(path).items()}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkloom.llm import byte_bpe, chat_format, decontaminate, html_text, near_duplicates, quality, repeated_text, token_counts, token_files, toxicity
-from sparkloom.llm._shared import fresh_path, stored
+from sparkloom.llm._shared import fresh_path, small_batches, stored
 from sparkloom.llm._text import read
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -22,8 +22,8 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """doc_id with the number and digest of the ids of each text, and the digest of what they decode to."""
-    encoded = byte_bpe.encode(docs.select("doc_id", "text"), BYTE_BPE, public_tokenizers.PATTERN)
-    return byte_bpe.decode(encoded, BYTE_BPE).select(
+    encoded = byte_bpe.encode(docs.select("doc_id", "text"), BYTE_BPE, public_tokenizers.PATTERN, decoded=True)
+    return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -83,5 +83,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(stored(chat_format.format_conversations(turns), "chat"))
 
 
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_quality_rules, op4_token_files, op5_html_text, op6_decontamination, op7_repeated_text, op8_near_duplicates, op9_token_counts, op10_chat_format)}
+    return {f.__name__: _bounded(f) for f in (op1_byte_bpe, op2_toxicity, op3_quality_rules, op4_token_files, op5_html_text, op6_decontamination, op7_repeated_text, op8_near_duplicates, op9_token_counts, op10_chat_format)}
