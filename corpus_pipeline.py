@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkloom.llm import decontaminate, near_duplicates, quality, repeated_text
-from sparkloom.llm._shared import stored
+from sparkloom.llm._shared import small_batches, stored
 from sparkloom.llm._text import read
 from sparkloom.llm.queries import bpe_digests
 
@@ -16,26 +16,31 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality cascade rejects go."""
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id stays."""
+    small_batches(spark)
     return near_duplicates.deduplicate(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by a 200-byte string that also starts elsewhere go. Every document stays; n_chars follows its text."""
+    small_batches(spark)
     return repeated_text.remove(docs).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark window occurs go."""
+    small_batches(spark)
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left as token ids: doc_id, n_tokens, and digests of the ids and of what they decode to."""
+    small_batches(spark)
     return bpe_digests(docs)
 
 
