@@ -6,10 +6,13 @@ in which they stand in the text, so it is sensitive to order as edit distance is
 candidates. A link holds if the edit distance of their word sequences, found within a band, is at most (1 - similarity)
 of the longer one's length.
 
-Equal texts are one representative first. In a bucket of texts with the same sketch no pairs are listed: each is compared
-to the bucket's leader; those that are not in the leader's component by then go to the next round with a new leader,
-until no bucket has two texts left (at most ROUNDS times). Buckets only exist as rows, joined by their keys, so a
-bucket of any size is spread. Texts are taken to the comparisons as compressed word hashes.
+Equal texts are one representative first. In a bucket of texts with the same sketch each is compared to the bucket's
+leader; those that are not in the leader's component by then go to the next round with a new leader, at most ROUNDS
+times. That settles most buckets with few comparisons, and decides nothing by itself: afterwards all pairs of a bucket
+whose ends are in different components are compared, those of texts that joined a leader too, block against block. So
+classes are the components of all links between texts that share a sketch. Buckets only exist as rows, joined by their
+keys, so a bucket of any size is spread. Texts are taken to the comparisons as compressed word hashes. n_links counts the
+links that were looked at to find the classes: pairs already in one component are not compared.
 
 Defined cases: null and empty texts, and texts without words, are classes of their own; texts under five words count as
 one k-mer; equal texts share a class; an id stands for one document, so rows that share an id share a class; a null id
@@ -36,6 +39,7 @@ SKETCHES = 24
 MINIMA = 3
 SIMILARITY = 0.8
 ROUNDS = 8
+BLOCK = 64
 
 _WHITE = tx.separator_table(tx.WHITE)
 _LOWER = tx.lower_table()
@@ -177,9 +181,9 @@ def _sequences(docs: DataFrame, key: str, text: str) -> DataFrame:
                 scan, words = hashed_words(data, offsets)
                 words = (words >> np.uint64(33)).astype("<u4")
                 packed = [pack.compress(words[a:b].tobytes()) for a, b in zip(scan.first[:-1], scan.first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(packed, pa.binary())], names=["_id", "_words"])
+                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(packed, pa.binary()), pa.array(scan.per_text.astype(np.int64))], names=["_id", "_words", "_n"])
 
-    return rows.mapInArrow(run, "_id bigint, _words binary")
+    return rows.mapInArrow(run, "_id bigint, _words binary, _n bigint")
 
 
 def _verified(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
@@ -202,6 +206,88 @@ def _verified(pairs: DataFrame, sequences: DataFrame, similarity: float) -> Data
     return with_both.select("a", "b", "_a", "_b").mapInArrow(run, "a bigint, b bigint")
 
 
+_BLOCK_KEY = ["bucket", "i", "j"]
+_BLOCK_ROW = "bucket bigint, i bigint, j bigint, first boolean, main boolean, id bigint, label bigint, n bigint, earlier array<bigint>"
+
+
+def _blocks(members: DataFrame, labels: DataFrame, sequences: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows of blocks (bucket, i, j) in which every pair of a bucket with ends in different components meets.
+
+    First are the texts outside of the bucket's largest component, by i; they meet all texts of the bucket, by j.
+    """
+    known = stored(members.distinct().join(labels, "id"), "known")
+    parts = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+    counts = parts.select("bucket", F.col("largest.label").alias("largest"), F.ceil(F.col("all") / BLOCK).alias("js"), F.ceil((F.col("all") - F.col("largest.n")) / BLOCK).alias("is"))
+    open_ = stored(known.join(counts, "bucket"), "open")
+    ids = open_.select("id").distinct()
+    about = reps.join(ids, "id", "left_semi").groupBy("id").agg(F.flatten(F.collect_list("_sketches")).alias("_sketches"))
+    about = about.join(sequences.select(F.col("_id").alias("id"), F.col("_n").alias("n")), "id")
+    rows = open_.join(about, "id").withColumn("earlier", F.expr("filter(_sketches, s -> s < bucket)")).withColumn("main", F.col("label") == F.col("largest"))
+    salt = F.xxhash64("id")
+    firsts = rows.where("not main").select("*", F.pmod(salt, F.col("is")).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("js") - 1)).alias("j"), F.lit(True).alias("first"))
+    others = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("is") - 1)).alias("i"), F.pmod(salt, F.col("js")).alias("j"), F.lit(False).alias("first"))
+    names = [field.split(" ")[0] for field in _BLOCK_ROW.split(", ")]
+    return firsts.select(names).unionByName(others.select(names))
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by block to one batch for each block."""
+    begun: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in _BLOCK_KEY])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(a, b - a)
+            if begun and any(begun[0].column(c)[0] != part.column(c)[0] for c in _BLOCK_KEY):
+                yield pa.concat_batches(begun)
+                begun = []
+            begun.append(part)
+    if begun:
+        yield pa.concat_batches(begun)
+
+
+def _pairs_in(block: pa.RecordBatch, similarity: float) -> Iterator[tuple[int, int]]:
+    """Places of the pairs to compare in a block: lengths allow a link, and no bucket with a lesser key has both."""
+    first, main = (block.column(c).to_numpy(zero_copy_only=False) for c in ("first", "main"))
+    ids, labels, n = (block.column(c).to_numpy() for c in ("id", "label", "n"))
+    x, y = np.flatnonzero(first), np.flatnonzero(~first)
+    wanted = (labels[x][:, None] != labels[y]) & (main[y] | (ids[x][:, None] < ids[y]))
+    wanted &= np.abs(n[x][:, None] - n[y]) <= ((1 - similarity) * np.maximum(n[x][:, None], n[y]) + 1e-9).astype(np.int64)
+    if wanted.any():
+        earlier = [set(e) for e in block.column("earlier").to_pylist()]
+        yield from ((x[i], y[j]) for i, j in np.argwhere(wanted) if earlier[x[i]].isdisjoint(earlier[y[j]]))
+
+
+def _links_across(members: DataFrame, labels: DataFrame, sequences: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """Links(a, b) of all pairs that share a bucket but not a component."""
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _by_block(batches):
+            places = sorted({at for pair in _pairs_in(block, similarity) for at in pair})
+            if places:
+                yield block.take(pa.array(places))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for block in _by_block(batches):
+            ids, packed, good, last = block.column("id"), block.column("_words"), [], None
+            for x, y in _pairs_in(block, similarity):
+                if x != last:
+                    last, words = x, np.frombuffer(unpack.decompress(packed[x].as_py()), "<u4")
+                if similar(words, np.frombuffer(unpack.decompress(packed[y].as_py()), "<u4"), similarity):
+                    good.append((x, y))
+            if good:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(side)) for side in zip(*good, strict=True)], names=["a", "b"])
+
+    together = _blocks(members, labels, sequences, reps).repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
+    rows = stored(together.mapInArrow(needed, _BLOCK_ROW), "blocks")
+    rows = rows.join(sequences.select(F.col("_id").alias("id"), "_words"), "id").repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
+    return rows.mapInArrow(compared, "a bigint, b bigint")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches_: int = SKETCHES, minima: int = MINIMA, k: int = K, rounds: int = ROUNDS) -> DataFrame:
     """For every row: key, class_id (the least id of its class), n_links of its text, n_copies of its text."""
     rows = stored(_sketched(docs, key, text, sketches_, minima, k), "sketches")
@@ -214,8 +300,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     wanted = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     wanted = members.join(wanted, "bucket", "left_semi")
     ids = wanted.select(F.col("id").alias("_id")).distinct()
-    sequences = stored(everything.join(ids, "_id", "left_semi").groupBy("_id").agg(F.max("_words").alias("_words")), "sequences")
-    links = None
+    sequences = stored(everything.join(ids, "_id", "left_semi").groupBy("_id").agg(F.max(F.struct("_words", "_n")).alias("_most")).select("_id", "_most._words", "_most._n"), "sequences")
+    shared, links = wanted, None
     labels = nodes.withColumn("label", F.col("id"))
     for _ in range(rounds):
         known = wanted.join(labels, "id")
@@ -229,6 +315,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
         labels = joined_components(labels, new)
         wanted = rest.select("id", "bucket", "leader").join(labels, "id").join(labels.select(F.col("id").alias("leader"), F.col("label").alias("_leads")), "leader")
         wanted = stored(wanted.where("label <> _leads").select("id", "bucket"), "rest")
+    if links is not None:
+        new = stored(_links_across(shared, labels, sequences, reps, similarity), "across")
+        links, labels = links.unionByName(new), joined_components(labels, new)
     counted = labels.withColumn("n_links", F.lit(0).cast("bigint"))
     if links is not None:
         ends = links.distinct().select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("_links"))

@@ -73,6 +73,34 @@ def test_near_duplicates(spark):
     assert copies[5] == copies[6] == 2 and copies[7] == 1
 
 
+def marker():
+    """A word that is the least element of any text that has it, so that with one sketch all such texts share a bucket."""
+    words = [f"w{i}" for i in range(20_000)]
+    ends = np.cumsum([len(w) for w in words])
+    labelled, _ = near_duplicates.elements(*near_duplicates.hashed_words(np.frombuffer("".join(words).encode(), np.uint8), np.append(0, ends)), 1)
+    return words[int(np.argmin(labelled * near_duplicates._MULTIPLY[0]))]
+
+
+def in_one_bucket(spark, rows):
+    made = near_duplicates.classes(frame(spark, rows), sketches_=1, minima=1, k=1)
+    assert sorted((r.doc_id, r.class_id) for r in made.collect()) == sorted((k, c) for (k, _), c in zip(rows, brute_classes(rows), strict=True))
+
+
+def edited(words, at, n, name):
+    return words[:at] + [f"{name}x{i}" for i in range(n)] + words[at + n :]
+
+
+def test_texts_that_joined_a_leader_are_compared_with_the_rest(spark):
+    base = [marker(), *prose(70, 99).split(" ")]
+    star = [(10 + i, " ".join(edited(base, 1 + 16 * i, 15, f"s{i}"))) for i in range(6)] + [(50, " ".join(base))]
+    chain, steps = [marker(), *prose(71, 99).split(" ")], []
+    for i in range(6):
+        steps.append((60 + i, " ".join(chain)))
+        chain = edited(chain, 1 + 16 * i, 15, f"c{i}")
+    assert set(brute_classes(star + steps)) == {10, 60}
+    in_one_bucket(spark, star + steps)
+
+
 def test_one_of_each_class_stays(spark):
     rows = near_rows()
     docs = frame(spark, rows)
