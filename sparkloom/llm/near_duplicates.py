@@ -7,10 +7,10 @@ candidates. A link holds if the edit distance of their word sequences, found wit
 of the longer one's length.
 
 Equal texts are one representative first. In a bucket of texts with the same sketch each is compared to the bucket's
-leader; those that are not in the leader's component by then go to the next round with a new leader, at most ROUNDS
-times. That settles most buckets with few comparisons, and decides nothing by itself: afterwards all pairs of a bucket
-whose ends are in different components are compared, those of texts that joined a leader too, block against block. So
-classes are the components of all links between texts that share a sketch. Buckets only exist as rows, joined by their
+leader; those that are not in the leader's component by then go to the next round with a new leader, while a bucket has
+more than BLOCK of them, at most ROUNDS times. That settles most buckets with few comparisons, and decides nothing by
+itself: afterwards all pairs of a bucket whose ends are in different components are compared, those of texts that joined
+a leader and those that no round served too, block against block. So classes are the components of all links between texts that share a sketch. Buckets only exist as rows, joined by their
 keys, so a bucket of any size is spread. Texts are taken to the comparisons as compressed word hashes. n_links counts the
 links that were looked at to find the classes: pairs already in one component are not compared.
 
@@ -315,6 +315,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
         labels = joined_components(labels, new)
         wanted = rest.select("id", "bucket", "leader").join(labels, "id").join(labels.select(F.col("id").alias("leader"), F.col("label").alias("_leads")), "leader")
         wanted = stored(wanted.where("label <> _leads").select("id", "bucket"), "rest")
+        if wanted.groupBy("bucket").count().where(F.col("count") > BLOCK).isEmpty():
+            break
     if links is not None:
         new = stored(_links_across(shared, labels, sequences, reps, similarity), "across")
         links, labels = links.unionByName(new), joined_components(labels, new)

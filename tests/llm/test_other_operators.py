@@ -101,6 +101,15 @@ def test_texts_that_joined_a_leader_are_compared_with_the_rest(spark):
     in_one_bucket(spark, star + steps)
 
 
+def test_texts_behind_the_last_leader_are_compared(spark):
+    rows = []
+    for i in range(12):
+        words = [marker(), *prose(80 + i, 30).split(" ")]
+        rows += [(10 + i, " ".join(words)), (100 + i, " ".join(edited(words, 5, 3, "e")))]
+    assert set(brute_classes(rows)) == set(range(10, 22))
+    in_one_bucket(spark, rows)
+
+
 def test_one_of_each_class_stays(spark):
     rows = near_rows()
     docs = frame(spark, rows)
