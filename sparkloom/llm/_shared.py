@@ -11,9 +11,13 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Only where it is unset, as in tests, a folder of this machine is taken."""
+    """spark.checkpoint.dir of the session. Only where it is unset and the master is local, as in tests, a folder of this
+    machine is taken; on a cluster that would lose what executors write, so it is an error there."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if "dir" not in _local:
             _local["dir"] = tempfile.mkdtemp(prefix="spark-shared-")
         place = _local["dir"]
@@ -35,7 +39,42 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a table in the shared folder, written once and read back."""
-    path = fresh_path(df.sparkSession, name)
+    """Cuts the lineage: df as a table in the shared folder, written once and read back. It stays there."""
+    return _written(df, fresh_path(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables of one operator in the shared folder, which go again when they have served.
+
+    table() cuts the lineage as stored() does. drop() removes tables at once, leaving the context all that are left but
+    those that were kept: what the operator returns may read only kept tables.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._tables: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*(df for df, _ in list(self._tables.values())))
+
+    def table(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        path = fresh_path(self._spark, name)
+        made = _written(df, path)
+        if not keep:
+            self._tables[id(made)] = (made, path)
+        return made
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm = self._spark.sparkContext._jvm
+        for df in tables:
+            if id(df) in self._tables:
+                path = jvm.org.apache.hadoop.fs.Path(self._tables.pop(id(df))[1])
+                path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

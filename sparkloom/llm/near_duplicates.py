@@ -1,45 +1,53 @@
 """Near-duplicates by order MinHash, with candidates verified by banded alignment.
 
 Each text is a sequence of five-word k-mers; the n-th occurrence of a k-mer in a text is another element than its first.
-For each of SKETCHES hash functions a sketch takes the MINIMA elements with the least hashes and hashes them in the order
+For each of SKETCHES hash functions (short texts have more) a sketch takes the MINIMA elements with the least hashes and hashes them in the order
 in which they stand in the text, so it is sensitive to order as edit distance is. Texts that share a sketch are
 candidates. A link holds if the edit distance of their word sequences, found within a band, is at most (1 - similarity)
 of the longer one's length.
 
-Equal texts are one representative first. In a bucket of texts with the same sketch each is compared to the bucket's
-leader; those that are not in the leader's component by then go to the next round with a new leader, while a bucket has
-more than BLOCK of them, at most ROUNDS times. That settles most buckets with few comparisons, and decides nothing by
-itself: afterwards all pairs of a bucket whose ends are in different components are compared, those of texts that joined
-a leader and those that no round served too, block against block. So classes are the components of all links between texts that share a sketch. Buckets only exist as rows, joined by their
-keys, so a bucket of any size is spread. Texts are taken to the comparisons as compressed word hashes. n_links counts the
-links that were looked at to find the classes: pairs already in one component are not compared.
+Nodes are the distinct texts with words, numbered once they are stored; sketches, links and components are theirs, ids
+come back at the end. In a bucket of texts with one sketch, each is first compared to one leader, which settles most
+buckets with few comparisons and decides nothing by itself. Then all pairs of a bucket whose ends are still in different
+components are compared: by block against block of at most about BLOCK texts a side, where pairs are passed over only if
+their lengths or their bags of words rule a link out, and those that are left are aligned. So no pair that shares a
+sketch is left out, and classes are the components of all links between such texts. Buckets only exist as rows, joined by
+their keys, so a bucket of any size is spread. n_links counts the links that were looked at to find the classes: pairs
+already in one component are not compared.
 
 Defined cases: null and empty texts, and texts without words, are classes of their own; texts under five words count as
-one k-mer; equal texts share a class; an id stands for one document, so rows that share an id share a class; a null id
-with a text of its own is a class of its own; an empty table gives an empty result; further columns are
-ignored by classes() and kept by deduplicate().
+one k-mer; equal texts share a class, whatever their ids; the class id is the least id of the class that isn't null, or
+null if there is none; an empty table gives an empty result; further columns are ignored by classes() and kept by
+deduplicate(), which keeps one row of each class: that with the class id and, of texts under that id, the least digest
+(null ids: one row of the least digest). Rows without words all stay. Rows that repeat both id and text can't be told
+apart and stay together.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkloom.llm import _text as tx
-from sparkloom.llm._shared import stored
-from sparkloom.llm.components import joined_components
+from sparkloom.llm._shared import Scratch
+from sparkloom.llm.components import joined_components, linked_components
 
 K = 5
-SKETCHES = 24
-MINIMA = 3
+SKETCHES = 96
+#: Texts under SHORT words have more sketches, as chance weighs more where there are few k-mers.
+SHORT, MORE_SKETCHES = 100, 64
+MINIMA = 2
 SIMILARITY = 0.8
-ROUNDS = 8
-BLOCK = 64
+BLOCK = 512
+#: Up to so many rows of nodes are broadcast to pick their texts; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
+#: Bins of the bag of words that stands for a text while pairs are passed over.
+BINS = 256
+_STEP = np.arange(32)
 
 _WHITE = tx.separator_table(tx.WHITE)
 _LOWER = tx.lower_table()
@@ -73,33 +81,79 @@ def elements(scan: tx.Words, words: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return tx.mix(gram + nth * _PLACE[63]), np.searchsorted(text, np.arange(len(scan.per_text) + 1))
 
 
-def sketches(labelled: np.ndarray, first: np.ndarray, n: int, minima: int) -> np.ndarray:
-    """One row for each text, n sketches each; texts without k-mers have zeros."""
+def sketches(labelled: np.ndarray, first: np.ndarray, n: int, minima: int, start: int = 0) -> np.ndarray:
+    """One row for each text, n sketches each by the hash functions from start; texts without k-mers have zeros.
+
+    Only elements under a limit, which about 4 * minima of a text pass, are looked at closely; a text of which too few
+    pass under some hash function is done again with all its elements.
+    """
     size = np.diff(first)
     out = np.zeros((len(size), n), np.uint64)
     full = np.flatnonzero(size > 0)
     if not len(full):
         return out
-    begin, own = first[:-1][full], size[full]
-    for j in range(n):
+    own = size[full]
+    share = np.minimum(1.0, 4 * minima / own)
+    limit = np.where(share < 1, (share * 2.0**63).astype(np.uint64) * np.uint64(2), _MOST)
+    text, limits = np.repeat(np.arange(len(full)), own), np.repeat(limit, own)
+    least_many = np.minimum(own, minima)
+    for j in range(start, start + n):
         hashed = labelled * _MULTIPLY[j]
+        near = np.flatnonzero(hashed <= limits)
+        begin = np.searchsorted(text[near], np.arange(len(full) + 1))
         places = np.full((len(full), minima), np.iinfo(np.int64).max)
-        for i in range(minima):
-            least = np.minimum.reduceat(hashed, begin)
-            at = np.flatnonzero(hashed == np.repeat(least, own))
-            which = np.searchsorted(begin, at, side="right") - 1
-            keep = own[which] > i
-            places[which[keep], i] = at[keep]
-            hashed[at] = _MOST
+        enough = np.diff(begin) >= least_many
+        if enough.all():
+            places[:] = _least_places(hashed[near], near, begin, minima)
+        else:
+            good, poor = np.flatnonzero(enough), np.flatnonzero(~enough)
+            some = enough[text[near]]
+            places[good] = _least_places(hashed[near][some], near[some], np.append(0, np.cumsum(np.diff(begin)[good])), minima)
+            for t in poor:
+                all_of = np.arange(first[full[t]], first[full[t] + 1])
+                places[t] = _least_places(hashed[all_of], all_of, np.array([0, len(all_of)]), minima)[0]
         places.sort(axis=1)
         value = np.full(len(full), np.uint64(j + 1))
         for i in range(minima):
             there = places[:, i] < len(labelled)
             value = tx.mix(value * _PLACE[i] + np.where(there, labelled[np.minimum(places[:, i], len(labelled) - 1)], np.uint64(0)))
-        out[full, j] = value
+        out[full, j - start] = value
     return out
 
 
+def all_sketches(labelled: np.ndarray, first: np.ndarray, n: int, minima: int, more: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches of the texts one after another, and where each text's begin: n, and more for those under SHORT words."""
+    made = sketches(labelled, first, n, minima)
+    short = np.flatnonzero(np.diff(first) < SHORT - K + 1)
+    if not len(short) or not more:
+        return made.ravel(), np.arange(len(made) + 1) * n
+    own = np.concatenate([np.arange(first[t], first[t + 1]) for t in short])
+    others = sketches(labelled[own], np.append(0, np.cumsum(np.diff(first)[short])), more, minima, n)
+    count = np.full(len(made), n)
+    count[short] += more
+    begin = np.append(0, np.cumsum(count))
+    out = np.empty(begin[-1], np.uint64)
+    out[begin[:-1][:, None] + np.arange(n)] = made
+    out[begin[:-1][short][:, None] + n + np.arange(more)] = others
+    return out, begin
+
+
+def _least_places(hashed: np.ndarray, place: np.ndarray, begin: np.ndarray, minima: int) -> np.ndarray:
+    """Places of the least hashes of each run begin[i]:begin[i + 1], none of which is empty."""
+    size = np.diff(begin)
+    places = np.full((len(size), minima), np.iinfo(np.int64).max)
+    if not len(size):
+        return places
+    hashed = hashed.copy()
+    run = np.repeat(np.arange(len(size)), size)
+    for i in range(minima):
+        at = np.flatnonzero(hashed == np.minimum.reduceat(hashed, begin[:-1])[run])
+        keep = size[run[at]] > i
+        places[run[at[keep]], i] = place[at[keep]]
+        hashed[at] = _MOST
+    return places
+
+
 def distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
     """Whether the edit distance of two sequences is at most limit, looking only at diagonals within the limit.
 
@@ -126,7 +180,8 @@ def distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
     if max(len(a), len(b)) - int(np.minimum(in_a, counts - in_a).sum()) > limit:
         return False
     goal = len(a) - len(b)
-    left, right = np.append(a.astype(np.int64), -1), np.append(b.astype(np.int64), -2)
+    left = np.concatenate([a.astype(np.int64), np.full(len(_STEP), -1)])
+    right = np.concatenate([b.astype(np.int64), np.full(len(_STEP), -2)])
     middle = limit + 1
     reach = np.full(2 * limit + 3, -10, np.int64)
     diagonals = np.arange(-limit - 1, limit + 2)
@@ -140,8 +195,11 @@ def distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
         at = np.minimum(np.minimum(at, len(a)), len(b) + band)
         live = np.flatnonzero((at >= 0) & (at - band >= 0))
         while len(live):
-            live = live[left[at[live]] == right[at[live] - band[live]]]
-            at[live] += 1
+            here = at[live][:, None] + _STEP
+            same = left[here] == right[here - band[live][:, None]]
+            run = np.where(same.all(axis=1), len(_STEP), same.argmin(axis=1))
+            at[live] += run
+            live = live[run == len(_STEP)]
         reach[low:high] = at
         if abs(goal) <= edits and reach[middle + goal] >= len(a):
             return True
@@ -153,43 +211,68 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return longer > 0 and distance_within(a, b, int((1 - similarity) * longer + 1e-9))
 
 
-def _sketched(docs: DataFrame, key: str, text: str, n: int, minima: int, k: int) -> DataFrame:
-    rows = docs.select(F.col(key).cast("bigint").alias("_id"), F.col(text).alias("_text"))
+def _digest(text: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("bigint").alias("_id"), _digest(F.col(text)).alias("_digest"), F.col(text).alias("_text"))
+
+
+def _sketched(rows: DataFrame, n: int, minima: int, k: int, more: int) -> DataFrame:
+    """Digest, id, length and sketches of the rows that have words; of equal texts in a slice only the least id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.slices(batch, "_text"):
-                data, offsets = tx.text_bytes(part.column("_text"))
+                ids, count = {}, {}
+                for at, (digest, own) in enumerate(zip(part.column("_digest").to_pylist(), part.column("_id").to_pylist(), strict=True)):
+                    before = ids.get(digest)
+                    count[digest] = count.get(digest, 0) + 1
+                    if before is None:
+                        ids[digest] = (own, at)
+                    elif own is not None and (before[0] is None or own < before[0]):
+                        ids[digest] = (own, before[1])
+                rows = part.take(pa.array([at for _, at in ids.values()], pa.int64()))
+                data, offsets = tx.text_bytes(rows.column("_text"))
                 scan, words = hashed_words(data, offsets)
-                made = sketches(*elements(scan, words, k), n, minima)
-                digests = [hashlib.blake2b(data[a:b].tobytes(), digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * n, pa.int32()), pa.array(made.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(digests, pa.binary()), pa.array(scan.per_text.astype(np.int64)), lists], names=["_id", "_digest", "_n", "_sketches"])
+                made, begin = all_sketches(*elements(scan, words, k), n, minima, more)
+                lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(made.view(np.int64)))
+                columns = [rows.column("_digest"), pa.array([own for own, _ in ids.values()], pa.int64()), pa.array([count[d] for d in ids], pa.int64()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["_digest", "_id", "_count", "_sketches"]).filter(pa.array(scan.per_text > 0))
 
-    return rows.mapInArrow(run, "_id bigint, _digest binary, _n bigint, _sketches array<bigint>")
+    return rows.mapInArrow(run, "_digest binary, _id bigint, _count bigint, _sketches array<bigint>")
 
 
-def _sequences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Word hashes of every row, compressed, with the digest of its text."""
-    rows = docs.select(F.col(key).cast("bigint").alias("_id"), F.col(text).alias("_text"))
+def _sequences(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n and compressed word hashes of the texts of nodes(node, _digest, _id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
+        names = [n for n in batch_names if n != "_text"]
         for batch in batches:
             for part in tx.slices(batch, "_text"):
                 data, offsets = tx.text_bytes(part.column("_text"))
                 scan, words = hashed_words(data, offsets)
                 words = (words >> np.uint64(33)).astype("<u4")
                 packed = [pack.compress(words[a:b].tobytes()) for a, b in zip(scan.first[:-1], scan.first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(packed, pa.binary()), pa.array(scan.per_text.astype(np.int64))], names=["_id", "_words", "_n"])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(scan.per_text.astype(np.int64)), pa.array(packed, pa.binary())], names=[*names, "n", "words"])
 
-    return rows.mapInArrow(run, "_id bigint, _words binary, _n bigint")
+    of_node = (rows["_digest"] == nodes["_digest"]) & rows["_id"].eqNullSafe(nodes["_id"])
+    if nodes.count() <= BROADCAST_ROWS:
+        batch_names = ["node", "_text"]
+        made = rows.join(F.broadcast(nodes), of_node).select("node", "_text").mapInArrow(run, "node bigint, n bigint, words binary")
+    else:
+        batch_names = ["_id", "_digest", "_text"]
+        rows = rows.select("_id", "_digest", "_text").mapInArrow(run, "_id bigint, _digest binary, n bigint, words binary")
+        made = rows.join(nodes, (rows["_digest"] == nodes["_digest"]) & rows["_id"].eqNullSafe(nodes["_id"])).select("node", "n", "words")
+    return made.groupBy("node").agg(F.first("n").alias("n"), F.first("words").alias("words"))
 
 
 def _verified(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
     """The pairs(a, b) whose word sequences are similar. Leaders' sequences join last, where AQE may split a hot leader."""
-    with_b = pairs.join(sequences.select(F.col("_id").alias("b"), F.col("_words").alias("_b")), "b")
-    with_both = with_b.join(sequences.select(F.col("_id").alias("a"), F.col("_words").alias("_a")), "a")
+    with_b = pairs.join(sequences.select(F.col("node").alias("b"), F.col("words").alias("_b")), "b")
+    with_both = with_b.join(sequences.select(F.col("node").alias("a"), F.col("words").alias("_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -206,29 +289,41 @@ def _verified(pairs: DataFrame, sequences: DataFrame, similarity: float) -> Data
     return with_both.select("a", "b", "_a", "_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _bags(sequences: DataFrame) -> DataFrame:
+    """node, n and bag: how often words fall into each of BINS bins; null where a bin has more than fit in a byte."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            bags = []
+            for packed in batch.column("words").to_pylist():
+                counts = np.bincount(np.frombuffer(unpack.decompress(packed), "<u4") % BINS, minlength=BINS)
+                bags.append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else None)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(bags, pa.binary())], names=["node", "n", "bag"])
+
+    return sequences.select("node", "n", "words").mapInArrow(run, "node bigint, n bigint, bag binary")
+
+
 _BLOCK_KEY = ["bucket", "i", "j"]
-_BLOCK_ROW = "bucket bigint, i bigint, j bigint, first boolean, main boolean, id bigint, label bigint, n bigint, earlier array<bigint>"
+_BLOCK_ROW = [*_BLOCK_KEY, "first", "main", "node", "label", "n", "bag"]
 
 
-def _blocks(members: DataFrame, labels: DataFrame, sequences: DataFrame, reps: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame, labels: DataFrame, sequences: DataFrame, store: Scratch) -> DataFrame:
     """Rows of blocks (bucket, i, j) in which every pair of a bucket with ends in different components meets.
 
     First are the texts outside of the bucket's largest component, by i; they meet all texts of the bucket, by j.
     """
-    known = stored(members.distinct().join(labels, "id"), "known")
+    known = members.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     parts = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     parts = parts.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
     counts = parts.select("bucket", F.col("largest.label").alias("largest"), F.ceil(F.col("all") / BLOCK).alias("js"), F.ceil((F.col("all") - F.col("largest.n")) / BLOCK).alias("is"))
-    open_ = stored(known.join(counts, "bucket"), "open")
-    ids = open_.select("id").distinct()
-    about = reps.join(ids, "id", "left_semi").groupBy("id").agg(F.flatten(F.collect_list("_sketches")).alias("_sketches"))
-    about = about.join(sequences.select(F.col("_id").alias("id"), F.col("_n").alias("n")), "id")
-    rows = open_.join(about, "id").withColumn("earlier", F.expr("filter(_sketches, s -> s < bucket)")).withColumn("main", F.col("label") == F.col("largest"))
-    salt = F.xxhash64("id")
+    open_ = store.table(known.join(counts, "bucket"), "open")
+    bags = _bags(sequences.join(open_.select("node").distinct(), "node", "left_semi"))
+    rows = open_.join(bags, "node").withColumn("main", F.col("label") == F.col("largest"))
+    salt = F.xxhash64("node")
     firsts = rows.where("not main").select("*", F.pmod(salt, F.col("is")).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("js") - 1)).alias("j"), F.lit(True).alias("first"))
     others = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("is") - 1)).alias("i"), F.pmod(salt, F.col("js")).alias("j"), F.lit(False).alias("first"))
-    names = [field.split(" ")[0] for field in _BLOCK_ROW.split(", ")]
-    return firsts.select(names).unionByName(others.select(names))
+    return firsts.select(_BLOCK_ROW).unionByName(others.select(_BLOCK_ROW))
 
 
 def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,88 +344,98 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(begun)
 
 
-def _pairs_in(block: pa.RecordBatch, similarity: float) -> Iterator[tuple[int, int]]:
-    """Places of the pairs to compare in a block: lengths allow a link, and no bucket with a lesser key has both."""
+def _possible(block: pa.RecordBatch, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the pairs of a block that have ends in different components, and lengths and bags that allow a link.
+
+    An edit changes one word, so a link needs all but (1 - similarity) of the longer text's words in common, and no more
+    words are in common than the bins of both bags are.
+    """
     first, main = (block.column(c).to_numpy(zero_copy_only=False) for c in ("first", "main"))
-    ids, labels, n = (block.column(c).to_numpy() for c in ("id", "label", "n"))
+    nodes, labels, n = (block.column(c).to_numpy() for c in ("node", "label", "n"))
     x, y = np.flatnonzero(first), np.flatnonzero(~first)
-    wanted = (labels[x][:, None] != labels[y]) & (main[y] | (ids[x][:, None] < ids[y]))
-    wanted &= np.abs(n[x][:, None] - n[y]) <= ((1 - similarity) * np.maximum(n[x][:, None], n[y]) + 1e-9).astype(np.int64)
-    if wanted.any():
-        earlier = [set(e) for e in block.column("earlier").to_pylist()]
-        yield from ((x[i], y[j]) for i, j in np.argwhere(wanted) if earlier[x[i]].isdisjoint(earlier[y[j]]))
-
-
-def _links_across(members: DataFrame, labels: DataFrame, sequences: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """Links(a, b) of all pairs that share a bucket but not a component."""
-
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _by_block(batches):
-            places = sorted({at for pair in _pairs_in(block, similarity) for at in pair})
-            if places:
-                yield block.take(pa.array(places))
+    longer = np.maximum(n[x][:, None], n[y])
+    limit = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+    wanted = (labels[x][:, None] != labels[y]) & (main[y] | (nodes[x][:, None] < nodes[y])) & (np.abs(n[x][:, None] - n[y]) <= limit)
+    if not wanted.any():
+        return nodes[:0], nodes[:0]
+    bags = block.column("bag")
+    unknown = bags.is_null().to_numpy(zero_copy_only=False)
+    bins = np.frombuffer(b"".join(bytes(BINS) if b is None else b for b in bags.to_pylist()), np.uint8).reshape(-1, BINS)
+    for at in np.flatnonzero(wanted.any(axis=1)):
+        others = np.flatnonzero(wanted[at])
+        others = others[~unknown[y[others]]] if not unknown[x[at]] else others[:0]
+        common = np.minimum(bins[x[at]], bins[y[others]]).sum(axis=1, dtype=np.int64)
+        wanted[at, others] = common >= longer[at, others] - limit[at, others]
+    one, other = np.nonzero(wanted)
+    return nodes[x[one]], nodes[y[other]]
+
+
+def _pairs_across(members: DataFrame, labels: DataFrame, sequences: DataFrame, similarity: float, store: Scratch) -> DataFrame:
+    """Pairs(a, b) that share a bucket but not a component and that may be similar."""
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _by_block(batches):
-            ids, packed, good, last = block.column("id"), block.column("_words"), [], None
-            for x, y in _pairs_in(block, similarity):
-                if x != last:
-                    last, words = x, np.frombuffer(unpack.decompress(packed[x].as_py()), "<u4")
-                if similar(words, np.frombuffer(unpack.decompress(packed[y].as_py()), "<u4"), similarity):
-                    good.append((x, y))
-            if good:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(side)) for side in zip(*good, strict=True)], names=["a", "b"])
-
-    together = _blocks(members, labels, sequences, reps).repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
-    rows = stored(together.mapInArrow(needed, _BLOCK_ROW), "blocks")
-    rows = rows.join(sequences.select(F.col("_id").alias("id"), "_words"), "id").repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
-    return rows.mapInArrow(compared, "a bigint, b bigint")
-
-
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches_: int = SKETCHES, minima: int = MINIMA, k: int = K, rounds: int = ROUNDS) -> DataFrame:
+            a, b = _possible(block, similarity)
+            for at in range(0, len(a), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(side[at : at + (1 << 16)]) for side in (a, b)], names=["a", "b"])
+
+    together = _blocks(members, labels, sequences, store).repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
+    return together.mapInArrow(run, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _known(rows: DataFrame, similarity: float, sketches_: int, minima: int, k: int, more: int) -> DataFrame:
+    """For every distinct text with words: digest, class_id, the digest of its class's text that stays, n_links and n_copies.
+
+    The table stays in the shared folder, as what is returned is read from it."""
+    with Scratch(rows.sparkSession) as store:
+        texts = _sketched(rows, sketches_, minima, k, more).groupBy("_digest").agg(F.min("_id").alias("_id"), F.sum("_count").alias("n_copies"), F.first("_sketches").alias("_sketches"))
+        reps = store.table(texts.withColumn("node", F.monotonically_increasing_id()), "representatives")
+        buckets = reps.select("node", F.explode("_sketches").alias("bucket"))
+        shared = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("bucket", "leader")
+        members = store.table(buckets.join(shared, "bucket").select("bucket", "node", "leader"), "members")
+        about = reps.select("node", "_digest", "_id", "n_copies")
+        sequences = store.table(_sequences(rows, about.join(members.select("node").distinct(), "node", "left_semi").select("node", "_digest", "_id")), "sequences")
+        led = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+        links = store.table(_verified(led, sequences, similarity), "links")
+        labels = linked_components(links, store)
+        pairs = store.table(_pairs_across(members, labels, sequences, similarity, store), "pairs")
+        more = store.table(_verified(pairs, sequences, similarity), "links")
+        store.drop(members, sequences, pairs)
+        labels = joined_components(labels.select("id", "label"), more, store)
+        ends = links.unionByName(more).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+        linked = store.table(labels.select("id", "label").join(ends, "id").join(about.select(F.col("node").alias("id"), "_id", "_digest"), "id"), "linked")
+        least = linked.groupBy("label").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_digest")).alias("least"))
+        of_node = linked.join(least, "label").select(F.col("id").alias("node"), F.col("least").alias("_class"), "n_links")
+        own = F.struct(F.col("_id").isNull().alias("none"), "_id", "_digest")
+        known = about.join(of_node, "node", "left").select("_digest", "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("_class", own).alias("_class"))
+        return store.table(known.select("_digest", F.col("_class._id").alias("class_id"), F.col("_class._digest").alias("_chosen"), "n_links", "n_copies"), "near-duplicates", keep=True)
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches_: int = SKETCHES, minima: int = MINIMA, k: int = K, more: int = MORE_SKETCHES) -> DataFrame:
     """For every row: key, class_id (the least id of its class), n_links of its text, n_copies of its text."""
-    rows = stored(_sketched(docs, key, text, sketches_, minima, k), "sketches")
-    reps = stored(
-        rows.where("_n > 0").groupBy("_digest").agg(F.min("_id").alias("id"), F.count("*").alias("n_copies"), F.max("_sketches").alias("_sketches")), "representatives"
-    )
-    nodes = reps.select("id").distinct()
-    members = stored(reps.select("id", F.explode("_sketches").alias("bucket")), "buckets")
-    everything = _sequences(docs, key, text)
-    wanted = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = members.join(wanted, "bucket", "left_semi")
-    ids = wanted.select(F.col("id").alias("_id")).distinct()
-    sequences = stored(everything.join(ids, "_id", "left_semi").groupBy("_id").agg(F.max(F.struct("_words", "_n")).alias("_most")).select("_id", "_most._words", "_most._n"), "sequences")
-    shared, links = wanted, None
-    labels = nodes.withColumn("label", F.col("id"))
-    for _ in range(rounds):
-        known = wanted.join(labels, "id")
-        leaders = known.groupBy("bucket").agg(F.min("id").alias("leader"), F.min_by("label", "id").alias("leader_label"), F.count("*").alias("n")).where("n > 1").drop("n")
-        rest = stored(known.join(leaders, "bucket").where("label <> leader_label"), "candidates")
-        pairs = rest.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-        if rest.isEmpty():
-            break
-        new = stored(_verified(pairs, sequences, similarity), "verified")
-        links = new if links is None else links.unionByName(new)
-        labels = joined_components(labels, new)
-        wanted = rest.select("id", "bucket", "leader").join(labels, "id").join(labels.select(F.col("id").alias("leader"), F.col("label").alias("_leads")), "leader")
-        wanted = stored(wanted.where("label <> _leads").select("id", "bucket"), "rest")
-        if wanted.groupBy("bucket").count().where(F.col("count") > BLOCK).isEmpty():
-            break
-    if links is not None:
-        new = stored(_links_across(shared, labels, sequences, reps, similarity), "across")
-        links, labels = links.unionByName(new), joined_components(labels, new)
-    counted = labels.withColumn("n_links", F.lit(0).cast("bigint"))
-    if links is not None:
-        ends = links.distinct().select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("_links"))
-        counted = labels.join(ends, "id", "left").select("id", "label", F.coalesce("_links", F.lit(0)).cast("bigint").alias("n_links"))
-    known = reps.select("_digest", "id", "n_copies").join(counted, "id").select("_digest", "label", "n_links", "n_copies")
-    return rows.join(known, "_digest", "left").select(
-        F.col("_id").alias(key), F.coalesce("label", "_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies")
+    rows = _rows(docs, key, text)
+    known = _known(rows, similarity, sketches_, minima, k, more)
+    found = rows.select("_id", "_digest").join(known, "_digest", "left")
+    return found.select(
+        F.col("_id").alias(key), F.when(F.col("n_copies").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies")
     )
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id is the least of their class, with the columns of docs."""
-    kept = stored(classes(docs, key, text, **options), "classes").where(F.col(key) == F.col("class_id")).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, docs[key] == kept["_kept"], "left_semi").select(*docs.columns)
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches_: int = SKETCHES, minima: int = MINIMA, k: int = K, more: int = MORE_SKETCHES) -> DataFrame:
+    """One row of each class, with the columns of docs. Only ids and digests are shuffled while few rows go."""
+    rows = _rows(docs, key, text)
+    known = _known(rows, similarity, sketches_, minima, k, more)
+    with Scratch(docs.sparkSession) as store:
+        placed = rows.select("_id", "_digest").join(known, "_digest")
+        stays = (F.col("_digest") == F.col("_chosen")) & F.col("_id").eqNullSafe(F.col("class_id"))
+        gone = store.table(placed.where(~stays).select(F.col("_id").alias("_gone"), F.col("_digest").alias("_gone_digest")).distinct(), "gone", keep=True)
+        nameless = not known.where("class_id IS NULL AND _digest = _chosen AND n_copies > 1").isEmpty()
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    marked = docs.toDF(*names).withColumns({"_id": F.col(names[docs.columns.index(key)]).cast("bigint"), "_digest": _digest(F.col(names[docs.columns.index(text)]))})
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    kept = marked.join(gone, (marked["_digest"] == gone["_gone_digest"]) & marked["_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    if nameless:
+        words = F.col(names[docs.columns.index(text)]).rlike(r"[^\x20\x09-\x0D]")
+        many = F.col("_id").isNull() & F.coalesce(words, F.lit(False))
+        kept = kept.where(~many).unionByName(kept.where(many).dropDuplicates(["_digest"]))
+    return kept.select(names).toDF(*docs.columns)

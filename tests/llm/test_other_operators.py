@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
@@ -9,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import chat_format, html_text, near_duplicates, toxicity
-from sparkloom.llm.components import components
+from sparkloom.llm._shared import Scratch
+from sparkloom.llm.components import components, joined_components
 
 from .fixtures import frame, prose, texts
 
@@ -35,8 +37,8 @@ def test_banded_alignment():
         assert near_duplicates.distance_within(np.array(a, np.uint32), np.array(b, np.uint32), limit) == (distance(a, b) <= limit)
 
 
-def brute_classes(rows, similarity=0.8):
-    """Least id of each row's class, by all pairs."""
+def brute_labels(rows, similarity=0.8):
+    """A number for each row's class, by all pairs."""
     words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
     label = list(range(len(rows)))
     for i in range(len(rows)):
@@ -47,7 +49,12 @@ def brute_classes(rows, similarity=0.8):
             if rows[i][1] == rows[j][1] or distance(words[i], words[j]) <= int((1 - similarity) * longer + 1e-9):
                 old, new = max(label[i], label[j]), min(label[i], label[j])
                 label = [new if x == old else x for x in label]
-    least = {}
+    return label
+
+
+def brute_classes(rows, similarity=0.8):
+    """Least id of each row's class."""
+    label, least = brute_labels(rows, similarity), {}
     for (k, _), x in zip(rows, label, strict=True):
         if k is not None:
             least[x] = min(k, least.get(x, k))
@@ -55,7 +62,7 @@ def brute_classes(rows, similarity=0.8):
 
 
 def near_rows():
-    rows = [r for r in texts() if r[0] not in (10, None)]
+    rows = [r for r in texts() if r[0] != 10] + [(None, None), (None, "")]
     base = prose(50, 150).split(" ")
     for i in range(12):
         draw, copy = random.Random(i), list(base)
@@ -68,7 +75,7 @@ def near_rows():
 def test_near_duplicates(spark):
     rows = near_rows()
     made = near_duplicates.classes(frame(spark, rows)).collect()
-    assert sorted((r.doc_id, r.class_id) for r in made) == sorted((k, c) for (k, _), c in zip(rows, brute_classes(rows), strict=True))
+    assert sorted(((r.doc_id, r.class_id) for r in made), key=repr) == sorted(((k, c) for (k, _), c in zip(rows, brute_classes(rows), strict=True)), key=repr)
     copies = {r.doc_id: r.n_copies for r in made}
     assert copies[5] == copies[6] == 2 and copies[7] == 1
 
@@ -82,7 +89,7 @@ def marker():
 
 
 def in_one_bucket(spark, rows):
-    made = near_duplicates.classes(frame(spark, rows), sketches_=1, minima=1, k=1)
+    made = near_duplicates.classes(frame(spark, rows), sketches_=1, minima=1, k=1, more=0)
     assert sorted((r.doc_id, r.class_id) for r in made.collect()) == sorted((k, c) for (k, _), c in zip(rows, brute_classes(rows), strict=True))
 
 
@@ -115,15 +122,95 @@ def test_one_of_each_class_stays(spark):
     docs = frame(spark, rows)
     kept = near_duplicates.deduplicate(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {c for c in brute_classes(rows)}
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(brute_kept(rows), key=repr)
     assert near_duplicates.classes(docs.limit(0)).count() == 0
+    assert near_duplicates.deduplicate(docs.limit(0)).count() == 0
+
+
+def brute_kept(rows):
+    """One row of each class, as deduplicate() chooses it; rows without words and rows alike in id and text all stay."""
+    label, best = brute_labels(rows), {}
+    for (k, t), x in zip(rows, label, strict=True):
+        rank = (k is None, k or 0, hashlib.sha256((t or "").encode()).digest()[:16])
+        best[x] = min(rank, best.get(x, rank))
+    out, seen = [], set()
+    for (k, t), x in zip(rows, label, strict=True):
+        if not (t or "").strip(" \t\n\x0b\f\r"):
+            out.append((k, t))
+        elif (k is None, k or 0, hashlib.sha256(t.encode()).digest()[:16]) == best[x] and not (k is None and t in seen):
+            out.append((k, t))
+            seen.add(t)
+    return out
+
+
+def test_rows_without_ids_stay(spark):
+    one, two, three = prose(90, 60), prose(91, 60), prose(92, 60)
+    rows = [(None, one), (1, one + " more"), (None, two), (None, two), (2, three), (None, three), (None, ""), (3, "")]
+    made = near_duplicates.classes(frame(spark, rows)).collect()
+    assert sorted((r.class_id for r in made), key=repr) == sorted(brute_classes(rows)[:6] + [None, 3], key=repr)
+    kept = near_duplicates.deduplicate(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, one + " more"), (None, two), (2, three), (None, ""), (3, "")], key=repr)
+
+
+def test_texts_of_one_id_keep_their_own_links(spark):
+    one, two = prose(93, 60), prose(94, 60)
+    rows = [(5, one), (5, two), (6, one + " x"), (7, two + " x")]
+    assert [r.class_id for r in near_duplicates.classes(frame(spark, rows)).collect()] == [5] * 4
+
+
+def test_very_long_texts(spark):
+    long = prose(95, 60_000).split(" ")
+    other = list(long)
+    for i in range(0, 60_000, 40):
+        other[i] = "changed"
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, prose(96, 60_000)), (4, prose(97, 30))]
+    assert {r.doc_id: r.class_id for r in near_duplicates.classes(frame(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+@pytest.mark.parametrize("words", [30, 50, 200, 1000])
+def test_share_of_links_that_become_candidates(words):
+    """Substitutions spread over the text, at the similarity that a link needs at least and above."""
+    draw, vocabulary = random.Random(words), [f"w{i}" for i in range(5000)]
+    for similarity in (0.8, 0.85, 0.9, 0.95):
+        pairs = []
+        for _ in range(100):
+            one = [draw.choice(vocabulary) for _ in range(words)]
+            other = list(one)
+            for i in draw.sample(range(words), int((1 - similarity) * words + 1e-9)):
+                other[i] = draw.choice(vocabulary)
+            pairs += [one, other]
+        flat = [" ".join(p).encode() for p in pairs]
+        scan, hashes = near_duplicates.hashed_words(np.frombuffer(b"".join(flat), np.uint8), np.append(0, np.cumsum([len(f) for f in flat])))
+        nd = near_duplicates
+        made, begin = nd.all_sketches(*nd.elements(scan, hashes, nd.K), nd.SKETCHES, nd.MINIMA, nd.MORE_SKETCHES)
+        own = [set(made[a:b].tolist()) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+        assert np.mean([bool(a & b) for a, b in zip(own[::2], own[1::2], strict=True)]) >= 0.9
+
+
+def test_sketches_are_those_of_all_elements():
+    draw = np.random.default_rng(3)
+    sizes = [0, 1, 2, 3, 40, 900, 5000]
+    labelled, first = draw.integers(1, 2**63, sum(sizes), dtype=np.uint64), np.append(0, np.cumsum(sizes))
+    made = near_duplicates.sketches(labelled, first, 20, 2)
+    for t, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+        for j in range(20):
+            places = np.sort(np.argsort(labelled[a:b] * near_duplicates._MULTIPLY[j])[:2])
+            value = np.full(1, np.uint64(j + 1))
+            for i in range(2):
+                value = near_duplicates.tx.mix(value * near_duplicates._PLACE[i] + (labelled[a:b][places[i]] if i < len(places) else np.uint64(0)))
+            assert made[t, j] == (value[0] if b > a else 0)
 
 
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(60, 50), (50, 70)], "a bigint, b bigint")
     nodes = spark.createDataFrame([(i,) for i in range(1, 81)], "id bigint")
-    found = {r.id: r.label for r in components(nodes, links).collect()}
-    assert all(found[i] == 1 for i in range(1, 41)) and found[60] == found[70] == found[50] == 50 and found[80] == 80
+    with Scratch(spark) as store:
+        found = {r.id: r.label for r in components(nodes, links, store).collect()}
+        assert all(found[i] == 1 for i in range(1, 41)) and found[60] == found[70] == found[50] == 50 and found[80] == 80
+        more = spark.createDataFrame([(40, 70), (80, 79), (60, 60)], "a bigint, b bigint")
+        joined = {r.id: r.label for r in joined_components(components(nodes, links, store).where("id < 71 AND id not between 41 and 49"), more, store).collect()}
+        assert all(joined[i] == 1 for i in (1, 40, 50, 60, 70)) and joined[79] == joined[80] == 79
+        assert components(nodes, links.limit(0), store).where("id <> label").count() == 0
 
 
 # Toxicity
