@@ -19,7 +19,10 @@ the LENGTH-byte windows of all texts, and they are sorted one bucket at a time:
 Where a context is repeated in the slice of rows at hand, it is settled there and sent on once, so that thousands of
 copies don't meet in a task. Texts are shuffled compressed, once for contexts and once for the result.
 
-Defined cases: a null text counts as empty; texts under LENGTH bytes have nothing removed; a text's own repeats and
+Windows in contexts of one digest (64 bits of the anchor, 64 of the context) are taken as equal without a sort; most of
+what copied documents repeat is found so, and the sort decides where contexts differ.
+
+Defined cases: a null text counts as empty; rows without ids, and rows that share one, are told apart by their texts; texts under LENGTH bytes have nothing removed; a text's own repeats and
 overlapping repeats count; rows that repeat are each other's copies; an empty table gives an empty result. remove()
 keeps further columns and drops a character of which only some bytes are left.
 """
@@ -35,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from sparkloom.llm import _text as tx
-from sparkloom.llm._shared import stored
+from sparkloom.llm._shared import Scratch
 from sparkloom.llm.quality import _schema
 
 LENGTH = 200
@@ -46,7 +49,8 @@ COVER = (0, 1, 2, 4)
 DEPTH = 192
 MAX_CONTEXTS = 4096
 BLOCK = 2 << 20
-PIECE = 4 << 20
+#: A longer text is searched in pieces of so many bytes.
+PIECE = 1 << 20
 
 _rng = np.random.default_rng(11)
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
@@ -130,33 +134,62 @@ def merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[first], end[np.append(first[1:], len(start)) - 1]
 
 
-def row_key(key: int | None, text: bytes) -> int:
-    """Rows with one id and one text share it; rows with one id and different texts don't."""
-    tag = int.from_bytes(hashlib.blake2b(text, digest_size=2).digest(), "little")
-    key = (-1 if key is None else key) & (2**64 - 1)
-    made = ((key << 16) & (2**64 - 1)) ^ tag ^ (key >> 48)
-    return made - 2**64 if made >= 2**63 else made
+def row_key(key: int | None, text: bytes) -> tuple[int, int]:
+    """Rows with one id and one text share it; rows with one id and different texts, or without ids, don't."""
+    digest = hashlib.blake2b(text, digest_size=16).digest()
+    high, low = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
+    return (high, low | 1) if key is None else (key, low & ~1)
 
 
-def _row_keys(keys: list[int | None], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return np.array([row_key(k, data[a:b].tobytes()) for k, a, b in zip(keys, offsets[:-1], offsets[1:], strict=True)], np.int64)
+def _row_keys(keys: list[int | None], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    made = np.array([row_key(k, data[a:b].tobytes()) for k, a, b in zip(keys, offsets[:-1], offsets[1:], strict=True)], np.int64).reshape(-1, 2)
+    return made[:, 0], made[:, 1]
 
 
-def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts over PIECE bytes in overlapping pieces, so that every window is in one: data, offsets, row and base."""
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Data, offsets, rows and bases of runs of texts. A text over PIECE bytes comes alone, in overlapping pieces, so that
+    every window is in one."""
     size = np.diff(offsets)
-    if not len(size) or size.max() <= PIECE:
-        return data, offsets, np.arange(len(size)), np.zeros(len(size), np.int64)
-    parts, row, base = [], [], []
-    for r, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-        for s in range(0, max(1, b - a - LENGTH + 1), PIECE):
-            parts.append(data[a + s : min(b, a + s + PIECE + LENGTH - 1)])
-            row.append(r)
-            base.append(s)
-    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), np.array(row), np.array(base)
+    plain = 0
+    for r in [*np.flatnonzero(size > PIECE).tolist(), len(size)]:
+        if r > plain:
+            yield data[offsets[plain] : offsets[r]], offsets[plain : r + 1] - offsets[plain], np.arange(plain, r), np.zeros(r - plain, np.int64)
+        if r < len(size):
+            for s in range(0, int(size[r]) - LENGTH + 1, PIECE):
+                part = data[offsets[r] + s : min(offsets[r + 1], offsets[r] + s + PIECE + LENGTH - 1)]
+                yield part, np.array([0, len(part)]), np.array([r]), np.array([s])
+        plain = r + 1
+
 
+_OCCURRENCE = "rid bigint, tag bigint, low int, high int, at int, anchor bigint, context bigint, n int"
 
-_OCCURRENCE = "rid bigint, low int, high int, at int, anchor bigint, context bigint, n int"
+
+def _found_in(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, base: np.ndarray, keys: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    o = Occurrences(data, offsets)
+    order = np.lexsort((o.context, o.anchor))
+    new = np.ones(len(order), bool)
+    new[1:] = (o.anchor[order][1:] != o.anchor[order][:-1]) | (o.context[order][1:] != o.context[order][:-1])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(order)))
+    chosen = order[first]
+    again = order[np.repeat(count > 1, count)]
+    shift = base[o.text] - offsets[:-1][o.text] if len(o.text) else o.low
+    # Spans of different rows are kept apart by a gap when they are merged.
+    gap = int(base.max(initial=0) + np.diff(offsets).max(initial=0)) + LENGTH + 2
+    owner = row[o.text] if len(o.text) else o.low
+    low, high = o.low + shift, o.high + shift
+    start, end = merge(low[again] + owner[again] * gap, high[again] + LENGTH + owner[again] * gap)
+    of = start // gap
+    columns = [
+        *(np.concatenate([k[owner[chosen]], k[of]]) for k in keys),
+        np.concatenate([low[chosen], start - of * gap]).astype(np.int32),
+        np.concatenate([high[chosen], end - of * gap]).astype(np.int32),
+        np.concatenate([o.at[chosen] - o.low[chosen], np.zeros(len(of), np.int64)]).astype(np.int32),
+    ]
+    none = np.concatenate([np.zeros(len(chosen), bool), np.ones(len(of), bool)])
+    hashes = [pa.array(np.concatenate([h[chosen].view(np.int64), np.zeros(len(of), np.int64)]), mask=none) for h in (o.anchor, o.context)]
+    n = np.concatenate([count, np.ones(len(of), np.int64)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), *hashes, pa.array(n)], names=["rid", "tag", "low", "high", "at", "anchor", "context", "n"])
 
 
 def _occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -167,33 +200,9 @@ def _occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             for part in tx.slices(batch, "_text"):
                 raw, places = tx.text_bytes(part.column("_text"))
-                rid = _row_keys(part.column("_id").to_pylist(), raw, places)
-                data, offsets, row, base = _pieces(raw, places)
-                o = Occurrences(data, offsets)
-                order = np.lexsort((o.context, o.anchor))
-                new = np.ones(len(order), bool)
-                new[1:] = (o.anchor[order][1:] != o.anchor[order][:-1]) | (o.context[order][1:] != o.context[order][:-1])
-                first = np.flatnonzero(new)
-                count = np.diff(np.append(first, len(order)))
-                chosen = order[first]
-                again = order[np.repeat(count > 1, count)]
-                shift = base[o.text] - offsets[:-1][o.text] if len(o.text) else o.low
-                # Spans of different rows are kept apart by a gap when they are merged.
-                gap = int(np.diff(places).max(initial=0)) + LENGTH + 2
-                owner = row[o.text] if len(o.text) else o.low
-                low, high = o.low + shift, o.high + shift
-                start, end = merge(low[again] + owner[again] * gap, high[again] + LENGTH + owner[again] * gap)
-                of = start // gap
-                columns = [
-                    np.concatenate([rid[owner[chosen]], rid[of]]),
-                    np.concatenate([low[chosen], start - of * gap]).astype(np.int32),
-                    np.concatenate([high[chosen], end - of * gap]).astype(np.int32),
-                    np.concatenate([o.at[chosen] - o.low[chosen], np.zeros(len(of), np.int64)]).astype(np.int32),
-                ]
-                none = np.concatenate([np.zeros(len(chosen), bool), np.ones(len(of), bool)])
-                hashes = [pa.array(np.concatenate([h[chosen].view(np.int64), np.zeros(len(of), np.int64)]), mask=none) for h in (o.anchor, o.context)]
-                n = np.concatenate([count, np.ones(len(of), np.int64)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *hashes, pa.array(n)], names=["rid", "low", "high", "at", "anchor", "context", "n"])
+                keys = _row_keys(part.column("_id").to_pylist(), raw, places)
+                for piece in _pieces(raw, places):
+                    yield _found_in(*piece, keys)
 
     return rows.mapInArrow(run, _OCCURRENCE)
 
@@ -203,27 +212,27 @@ def _packed(docs: DataFrame, key: str, text: str) -> DataFrame:
     kept = [c for c in docs.columns if c != text]
     rows = docs.select(F.col(key).cast("bigint").alias("_id"), F.col(text).alias("_text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(kept)))
     names = [f"_c{i}" for i in range(len(kept))]
-    schema = _schema(rows.select(*names), {"rid": "bigint", "packed": "binary"})
+    schema = _schema(rows.select(*names), {"rid": "bigint", "tag": "bigint", "packed": "binary"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part in tx.slices(batch, "_text"):
                 data, offsets = tx.text_bytes(part.column("_text"))
-                rid = _row_keys(part.column("_id").to_pylist(), data, offsets)
+                rid, tag = _row_keys(part.column("_id").to_pylist(), data, offsets)
                 packed = [pack.compress(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(rid), pa.array(packed, pa.binary())], names=[*names, "rid", "packed"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(rid), pa.array(tag), pa.array(packed, pa.binary())], names=[*names, "rid", "tag", "packed"])
 
     return rows.mapInArrow(run, schema)
 
 
-_CONTEXT = "anchor bigint, n bigint, rid bigint, low int, at int, bytes binary"
+_CONTEXT = "anchor bigint, n bigint, rid bigint, tag bigint, low int, at int, bytes binary"
 
 
 def _contexts(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     """The bytes of the wanted occurrences. A row's wishes are as many as its text is long, so they fit in a list."""
-    lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("anchor", "n", "low", "high", "at")).alias("wishes"))
-    packed = _packed(docs.select(F.col(key).alias("_key"), F.col(text).alias("_body")), "_key", "_body").select("rid", "packed")
+    lists = wanted.groupBy("rid", "tag").agg(F.collect_list(F.struct("anchor", "n", "low", "high", "at")).alias("wishes"))
+    packed = _packed(docs.select(F.col(key).alias("_key"), F.col(text).alias("_body")), "_key", "_body").select("rid", "tag", "packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -234,11 +243,10 @@ def _contexts(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFr
                 low, high = w.field("low").to_pylist(), w.field("high").to_pylist()
                 size = len(low)
                 bodies = pa.array([data[a : b + LENGTH] for a, b in zip(low, high, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [w.field("anchor"), w.field("n"), pa.array([batch.column("rid")[i].as_py()] * size, pa.int64()), w.field("low"), w.field("at"), bodies], names=["anchor", "n", "rid", "low", "at", "bytes"]
-                )
+                own = [pa.array([batch.column(c)[i].as_py()] * size, pa.int64()) for c in ("rid", "tag")]
+                yield pa.RecordBatch.from_arrays([w.field("anchor"), w.field("n"), *own, w.field("low"), w.field("at"), bodies], names=["anchor", "n", "rid", "tag", "low", "at", "bytes"])
 
-    return packed.join(lists, "rid").select("rid", "packed", "wishes").mapInArrow(run, _CONTEXT)
+    return packed.join(lists, ["rid", "tag"]).select("rid", "tag", "packed", "wishes").mapInArrow(run, _CONTEXT)
 
 
 def cover_ranks(text: np.ndarray, positions: np.ndarray) -> np.ndarray:
@@ -302,16 +310,17 @@ def _sorted_buckets(contexts: DataFrame) -> DataFrame:
 
     def settle(block: list[tuple]) -> Iterator[pa.RecordBatch]:
         number = np.cumsum([0] + [a[0] != b[0] for a, b in zip(block[1:], block, strict=False)])
-        rid, start, end = [], [], []
-        found = repeated_windows(number, np.array([b[4] for b in block]), [b[5] for b in block])
-        for (_, n, own, low, _, _), windows in zip(block, found, strict=True):
+        rid, tag, start, end = [], [], [], []
+        found = repeated_windows(number, np.array([b[5] for b in block]), [b[6] for b in block])
+        for (_, n, own, own_tag, low, _, _), windows in zip(block, found, strict=True):
             if n == 1 and len(windows):
                 s, e = merge(windows + low, windows + low + LENGTH)
                 rid += [own] * len(s)
+                tag += [own_tag] * len(s)
                 start += s.tolist()
                 end += e.tolist()
         if rid:
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["rid", "start", "end"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (rid, tag)), *(pa.array(c, pa.int32()) for c in (start, end))], names=["rid", "tag", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = [], 0
@@ -321,48 +330,52 @@ def _sorted_buckets(contexts: DataFrame) -> DataFrame:
                     yield from settle(block)
                     block, size = [], 0
                 block.append(row)
-                size += len(row[5])
+                size += len(row[6])
         if block:
             yield from settle(block)
 
     n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return contexts.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "rid bigint, start int, end int")
+    return contexts.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "rid bigint, tag bigint, start int, end int")
 
 
-def _spread_buckets(contexts: DataFrame) -> DataFrame:
+def _spread_buckets(contexts: DataFrame, store: Scratch) -> DataFrame:
     """The same for buckets of any size: windows are counted by their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 out = []
-                for anchor, n, rid, low, _, body in zip(*(c.to_pylist() for c in batch.slice(first, 256).columns), strict=True):
-                    out += [(anchor, hashlib.blake2b(body[i : i + LENGTH], digest_size=16).digest(), n, rid, low + i) for i in range(len(body) - LENGTH + 1)]
-                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["anchor", "window", "n", "rid", "start"])
+                for anchor, n, rid, tag, low, _, body in zip(*(c.to_pylist() for c in batch.slice(first, 256).columns), strict=True):
+                    out += [(anchor, hashlib.blake2b(body[i : i + LENGTH], digest_size=16).digest(), n, rid, tag, low + i) for i in range(len(body) - LENGTH + 1)]
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["anchor", "window", "n", "rid", "tag", "start"])
 
-    windows = stored(contexts.mapInArrow(run, "anchor bigint, window binary, n bigint, rid bigint, start int"), "windows")
+    windows = store.table(contexts.mapInArrow(run, "anchor bigint, window binary, n bigint, rid bigint, tag bigint, start int"), "windows")
     twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("k")).where("k > 1")
-    return windows.where("n = 1").join(twice, ["anchor", "window"], "left_semi").select("rid", "start", (F.col("start") + LENGTH).alias("end"))
+    return windows.where("n = 1").join(twice, ["anchor", "window"], "left_semi").select("rid", "tag", "start", (F.col("start") + LENGTH).alias("end"))
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", max_contexts: int = MAX_CONTEXTS) -> DataFrame:
-    """rid and spans (start, end in bytes) to remove, which may overlap, for the rows that have any."""
-    all_found = stored(_occurrences(docs, key, text), "occurrences")
-    settled = all_found.where("anchor IS NULL").select("rid", F.col("low").alias("start"), F.col("high").alias("end"))
-    found = all_found.where("anchor IS NOT NULL")
-    often = found.groupBy("anchor").agg(F.sum("n").alias("k")).where("k > 1").select("anchor")
-    shared = stored(found.join(often, "anchor", "left_semi"), "shared")
-    first = F.min(F.struct("rid", "low", "high", "at")).alias("one")
-    kinds = stored(shared.groupBy("anchor", "context").agg(F.sum("n").alias("n"), first), "contexts")
-    whole = shared.join(kinds.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("rid", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end"))
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
-    wanted = stored(kinds.join(several, "anchor").select("anchor", "k", "n", "one.*"), "wanted")
-    spans = settled.unionByName(whole).unionByName(_sorted_buckets(_contexts(docs, key, text, wanted.where(F.col("k") <= max_contexts))))
-    hot = wanted.where(F.col("k") > max_contexts)
-    if not hot.isEmpty():
-        spans = spans.unionByName(_spread_buckets(_contexts(docs, key, text, hot)))
-    return spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    """rid, tag and spans (start, end in bytes) to remove, which may overlap, for the rows that have any. A stored table."""
+    with Scratch(docs.sparkSession) as store:
+        all_found = store.table(_occurrences(docs, key, text), "occurrences")
+        settled = store.table(all_found.where("anchor IS NULL").select("rid", "tag", F.col("low").alias("start"), F.col("high").alias("end")), "settled")
+        found = all_found.where("anchor IS NOT NULL")
+        often = found.groupBy("anchor").agg(F.sum("n").alias("k")).where("k > 1").select("anchor")
+        shared = store.table(found.join(often, "anchor", "left_semi"), "shared")
+        store.drop(all_found)
+        first = F.min(F.struct("rid", "tag", "low", "high", "at")).alias("one")
+        kinds = store.table(shared.groupBy("anchor", "context").agg(F.sum("n").alias("n"), first), "contexts")
+        whole = shared.join(kinds.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("rid", "tag", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end"))
+        whole = store.table(whole, "whole")
+        several = kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
+        wanted = store.table(kinds.join(several, "anchor").select("anchor", "k", "n", "one.*"), "wanted")
+        store.drop(shared, kinds)
+        spans = settled.unionByName(whole).unionByName(_sorted_buckets(_contexts(docs, key, text, wanted.where(F.col("k") <= max_contexts))))
+        hot = wanted.where(F.col("k") > max_contexts)
+        if not hot.isEmpty():
+            spans = spans.unionByName(_spread_buckets(_contexts(docs, key, text, hot), store))
+        return store.table(spans.groupBy("rid", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans", keep=True)
 
 
 REPORT = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept": "binary"}
@@ -373,7 +386,7 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
     columns = [c for c in docs.columns if c != text]
     clash = {c: f"_old_{c}" for c in columns if c in REPORT}
     names = [f"_c{i}" for i in range(len(columns))]
-    rows = _packed(docs, key, text).join(repeated_spans(docs, key, text, **options), "rid", "left").drop("rid")
+    rows = _packed(docs, key, text).join(repeated_spans(docs, key, text, **options), ["rid", "tag"], "left").drop("rid", "tag")
     kept = [f for f in rows.schema.fields if f.name in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -115,25 +115,37 @@ def covered(rows):
 
 @pytest.mark.parametrize("max_contexts", [4096, 1])
 def test_repeated_text(spark, max_contexts):
-    rows = [r for r in texts() if r[0] != 10] + [(20, prose(30, 3000)), (21, prose(31, 100) + prose(30, 3000)[2000:9000] + prose(32, 40)), (22, "ab" * 400)]
+    rows = texts() + [(20, prose(30, 3000)), (21, prose(31, 100) + prose(30, 3000)[2000:9000] + prose(32, 40)), (22, "ab" * 400), (23, prose(33, 30) + prose(5, 20_000)[40_000:90_000])]
     made = repeated_text.report(frame(spark, rows), max_contexts=max_contexts).collect()
     expected = covered([(t or "").encode() for _, t in rows])
     assert pairs((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in made) == pairs((k, *e) for (k, _), e in zip(rows, expected, strict=True))
 
 
-def test_repeated_text_in_pieces(spark, monkeypatch):
+def test_rows_without_ids_keep_their_own_spans(spark):
+    shared = prose(34, 100)
+    rows = [(None, shared + " " + prose(100 + i, 60)) if i % 2 else (None, prose(100 + i, 160)) for i in range(600)]
+    made = repeated_text.report(frame(spark, rows)).collect()
+    expected = covered([t.encode() for _, t in rows])
+    assert pairs((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in made) == pairs(expected)
+    keys = [repeated_text.row_key(k, t) for k in (None, 1, 2) for t in (b"a", b"b")]
+    assert len(set(keys)) == 6 and repeated_text.row_key(1, b"a") == keys[2]
+
+
+def test_repeated_text_in_pieces(monkeypatch):
     import sparkloom.llm.repeated_text as module
 
-    text = (prose(40, 700) + " " + prose(41, 100) + " " + prose(40, 700)).encode()
-    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    long = (prose(40, 700) + " " + prose(41, 100) + " " + prose(40, 700)).encode()
+    data = np.frombuffer(b"x" * 300 + long + b"yy" + long, np.uint8)
+    offsets = np.cumsum([0, 300, len(long), 2, len(long)])
     monkeypatch.setattr(module, "PIECE", 1000)
-    part, places, row, base = module._pieces(data, offsets)
-    assert len(row) > 3
-    windows = {int(b) + w for a, b, p in zip(places, base, np.diff(places), strict=False) for w in range(int(p) - 199)}
-    assert windows == set(range(len(text) - 199))
-    found = module.Occurrences(part, places)
-    seen = {int(base[t] + w - places[t]) for t, low, high in zip(found.text, found.low, found.high, strict=True) for w in range(low, high + 1)}
-    assert seen == windows
+    seen, parts = {}, 0
+    for part, places, row, base in module._pieces(data, offsets):
+        parts += 1
+        assert len(part) <= 1200
+        found = module.Occurrences(part, places)
+        for t, low, high in zip(found.text, found.low, found.high, strict=True):
+            seen.setdefault(int(row[t]), set()).update(int(base[t] + w - places[t]) for w in range(low, high + 1))
+    assert parts > 6 and seen == {0: set(range(101)), 1: set(range(len(long) - 199)), 3: set(range(len(long) - 199))}
 
 
 def test_repeated_text_keeps_columns(spark):
