@@ -1,20 +1,18 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words.
 
-encode() has two styles with the same results. With style="words" each worker process folds the distinct words of its
-rows itself, keeps what it has folded (a bounded number of pieces) and puts the texts together; nothing is shuffled.
+encode() has two styles with the same results, and neither shuffles. With style="words" each worker process folds the
+distinct words of its rows itself, keeps what it has folded (a bounded number of pieces) and puts the texts together.
 With style="higher_order" the fold is one of Spark's higher-order functions:
 
-1. Texts are taken in bounded batches. A batch's texts become numbers of its distinct words (the matches of the
-   pattern), and the batch's distinct words go out with the batch's key.
-2. The words of all batches are made distinct. For each, ``aggregate`` folds merges over the array of its bytes' ids:
-   every step looks up the rank of each neighbouring pair in a literal rank map, takes the lowest rank with
-   ``array_min`` and puts the merged id in the pair's place, until no pair has a rank.
-3. Each batch gets the ids of its words back and every text is put together.
+1. Texts are taken in bounded batches. A batch becomes one row: its texts as numbers of its distinct words (the matches
+   of the pattern), and an array of those words as arrays of byte ids.
+2. ``transform`` goes over the words, and for each ``aggregate`` folds merges over the array of its bytes' ids: every
+   step looks up the rank of each neighbouring pair in a literal rank map, takes the lowest rank with ``array_min`` and
+   puts the merged id in the pair's place, until no pair has a rank.
+3. The ids of the row's words are put in the places of its texts.
 
 The rank map is a literal array: the pair (left id, right id) is at offset[left] + right, laid out so that no two pairs
 meet (row displacement), and each entry keeps its left id. Its size is that of the rank file, whatever the corpus.
-Words are shuffled once per batch and by the whole corpus once; texts themselves never are, only their word numbers.
-Groups that meet in a task are batches, which are bounded.
 
 Defined cases: null counts as empty, and an empty text has no ids; repeated rows and ids are kept; an empty table gives
 an empty result; further columns pass through, except those that clash with the result's.
@@ -24,29 +22,48 @@ from __future__ import annotations
 
 import base64
 import functools
-import hashlib
 import heapq
 import json
 import re
-import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkloom.llm import _text as tx
 from sparkloom.llm.quality import _schema, _with_columns
 
-#: About so many bytes of text make a batch.
-BATCH_BYTES = 24 << 20
+#: About so many bytes of text make a batch of the higher-order style.
+BATCH_BYTES = 8 << 20
 NONE = 1 << 17
-_PLACE = 20
+#: Bits of a position in a word, beside the 17 of a rank.
+_PLACE = 31
+
+# Letters and numbers of the regex module's Unicode tables that are none in the library's (Unicode 16).
+NEWER_LETTERS = (
+    r"\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    r"\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011df1"
+    r"\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff3\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+    r"\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24"
+    r"\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5"
+    r"\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead"
+    r"\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+NEWER_NUMBERS = r"\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ff4-\U00016ff6"
+
+
+def finder(pattern: str) -> Callable[[str], list[str]]:
+    """findall of the pattern, with letters and numbers as the library knows them."""
+    plain = regex.compile(pattern).findall
+    newer = regex.compile(f"[{NEWER_LETTERS}{NEWER_NUMBERS}]").search
+    older = pattern.replace(r"\p{L}", f"[\\p{{L}}--[{NEWER_LETTERS}]]").replace(r"\p{N}", f"[\\p{{N}}--[{NEWER_NUMBERS}]]")
+    careful = regex.compile(older, regex.V1).findall
+    return lambda text: plain(text) if text.isascii() or not newer(text) else careful(text)
 
 
 @functools.cache
@@ -97,14 +114,14 @@ def fold_merges(byte_ids: Column, tables: Column) -> Column:
 
     def rank(left: Column, right: Column) -> Column:
         entry = F.get(tables["entries"], F.get(tables["offsets"], left) + right)
-        return F.when(F.shiftright(entry, 17) == left, entry.bitwiseAND(F.lit(NONE - 1))).otherwise(F.lit(NONE))
+        return F.when(F.shiftright(entry, 17) == left, entry.bitwiseAND(F.lit(NONE - 1).cast("bigint"))).otherwise(F.lit(NONE).cast("bigint"))
 
     def lowest(ids: Column) -> Column:
-        pairs = F.transform(ids, lambda right, i: F.shiftleft(rank(F.get(ids, i - 1), right), _PLACE).bitwiseOR(i))
+        pairs = F.transform(ids, lambda right, i: F.shiftleft(rank(F.get(ids, i - 1), right), _PLACE).bitwiseOR(i.cast("bigint")))
         return F.array_min(pairs)
 
     def merged(ids: Column, low: Column) -> Column:
-        at = low.bitwiseAND(F.lit((1 << _PLACE) - 1)).cast("int")
+        at = low.bitwiseAND(F.lit((1 << _PLACE) - 1).cast("bigint")).cast("int")
         return F.concat(F.slice(ids, F.lit(1), at - 1), F.array(F.shiftright(low, _PLACE).cast("int")), F.slice(ids, at + 2, F.size(ids)))
 
     def step(state: Column, _: Column) -> Column:
@@ -118,26 +135,6 @@ def fold_merges(byte_ids: Column, tables: Column) -> Column:
     return F.aggregate(byte_ids, start, step)["ids"]
 
 
-def encode_words(words: DataFrame, ranks_path: str) -> DataFrame:
-    """words(word binary) with ids array<int>. A word that is a whole piece of the vocabulary has its rank as its id."""
-    ranks = load_ranks(ranks_path)
-    offsets, entries = pair_table(ranks_path)
-    byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-
-    def as_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            word = batch.column("word").cast(pa.large_binary())
-            at = np.frombuffer(word.buffers()[1], np.int64)[word.offset : word.offset + len(word) + 1]
-            data = np.frombuffer(word.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
-            whole = [ranks.get(w, -1) for w in word.to_pylist()]
-            arrays = pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), pa.array(byte_ids[data]))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), arrays, pa.array(whole, pa.int32())], names=["word", "byte_ids", "whole"])
-
-    tables = F.struct(_literal(offsets, T.IntegerType()).alias("offsets"), _literal(entries, T.LongType()).alias("entries"))
-    folded = _let(tables, lambda t: F.when(F.col("whole") >= 0, F.array("whole")).otherwise(fold_merges(F.col("byte_ids"), t)))
-    return words.mapInArrow(as_arrays, "word binary, byte_ids array<int>, whole int").select("word", folded.alias("ids"))
-
-
 def _batches(rows: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.Table]:
     """Runs of whole rows with about limit bytes of text."""
     held, size = [], 0
@@ -164,7 +161,7 @@ class _Splitter:
     """
 
     def __init__(self, pattern: str):
-        self.find = regex.compile(pattern).findall
+        self.find = finder(pattern)
         self.words: dict[str, int] = {}
         self.spaced: dict[str, tuple[int, ...]] = {}
         self.plain: dict[str, tuple[int, ...]] = {}
@@ -197,13 +194,8 @@ class _Splitter:
         return out
 
 
-def _batch_key(task: int, number: int, words: list[bytes]) -> int:
-    """A batch's key also depends on its words: should a repeated task see other rows, no ids are found, not wrong ones."""
-    digest = hashlib.blake2b(b"\0".join(words), digest_size=8, key=struct.pack("<qq", task, number))
-    return int.from_bytes(digest.digest(), "little", signed=True)
-
-
-KEPT_PIECES = 400_000
+#: Pieces that a worker process keeps the ids of; at about 200 bytes each.
+KEPT_PIECES = 250_000
 
 
 def fold_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -259,7 +251,7 @@ class _WordFolder:
 
     def __init__(self, ranks_path: str, pattern: str):
         self.ranks = load_ranks(ranks_path)
-        self.find = regex.compile(pattern).findall
+        self.find = finder(pattern)
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
 
@@ -325,79 +317,39 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", s
 
 
 def _encode_higher_order(docs: DataFrame, ranks_path: str, pattern: str, text: str, batch_bytes: int) -> DataFrame:
-    carried = [c for c in docs.columns if c not in (text, "ids")]
-    schema = docs.select(*carried).schema
+    carried = docs.drop(text, "ids")
+    names = carried.columns
 
-    def split(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[np.ndarray], list[bytes], int]]:
-        task = TaskContext.get().partitionId()
-        for number, table in enumerate(_batches(rows, text, batch_bytes)):
+    def split(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A batch of texts as one row. A word that is a whole piece of the vocabulary has its rank as its only id."""
+        ranks, pack = load_ranks(ranks_path), zstandard.ZstdCompressor(level=1)
+        for table in _batches(rows, text, batch_bytes):
             splitter = _Splitter(pattern)
             numbers = [np.array(splitter.split(t or ""), np.uint32) for t in table.column(text).to_pylist()]
-            words = [w.encode() for w in splitter.words]
-            yield table, numbers, words, _batch_key(task, number, words)
-
-    def words_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, words, key in split(rows):
-            for i in range(0, len(words), 50_000):
-                part = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(part), pa.int64()), pa.array(range(i, i + len(part)), pa.int32()), pa.array(part, pa.binary())], names=["batch", "number", "word"])
-
-    def texts_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
-        for table, numbers, _, key in split(rows):
+            words = [[whole] if (whole := ranks.get(w)) is not None else [ranks[w[i : i + 1]] for i in range(len(w))] for w in map(str.encode, splitter.words)]
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, (kept := table.select(carried)).schema) as out:
+            with pa.ipc.new_stream(sink, (kept := table.select(names)).schema) as out:
                 out.write_table(kept)
-            columns = (
-                np.concatenate(numbers).tobytes(),
-                np.array([len(x) for x in numbers], np.uint32).tobytes(),
-                sink.getvalue().to_pybytes(),
-            )
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), *(pa.array([pack.compress(c)], pa.binary()) for c in columns)], names=["batch", "numbers", "sizes", "rows"])
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    same = docs.select(*carried, text)  # both uses read the same columns, so that they see the same rows in the same order
-    pairs = same.mapInArrow(words_of, "batch bigint, number int, word binary").repartition(n, "word")
-    # The aggregate reads all columns of pairs, so that both sides of the join use one and the same exchange.
-    words = pairs.groupBy("word").agg(F.min("batch").alias("batch"), F.min("number").alias("number"))
-    known = pairs.join(encode_words(words, ranks_path).hint("merge"), "word").select("batch", "number", "ids")
-    texts = same.mapInArrow(texts_of, "batch bigint, numbers binary, sizes binary, rows binary")
-
-    def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        order = np.argsort(right.column("number").to_numpy())
-        lists = right.column("ids").combine_chunks()
-        starts, lengths = lists.offsets.to_numpy()[:-1][order], np.diff(lists.offsets.to_numpy())[order]
-        values = lists.values.to_numpy().astype("<u4")
+            columns = (np.concatenate(numbers).tobytes(), np.array([len(x) for x in numbers], np.uint32).tobytes(), sink.getvalue().to_pybytes())
+            packed = [pa.array([pack.compress(c)], pa.binary()) for c in columns]
+            yield pa.RecordBatch.from_arrays([*packed, pa.array([words], pa.list_(pa.list_(pa.int32())))], names=["numbers", "sizes", "rows", "words"])
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for row in left.to_pylist():
-            numbers, sizes, rows = (unpack.decompress(row[c]) for c in ("numbers", "sizes", "rows"))
-            numbers, ends = np.frombuffer(numbers, np.uint32), np.cumsum(np.frombuffer(sizes, np.uint32))
-            if len(numbers) and numbers.max() >= len(order):
-                raise ValueError("the words of a batch are missing")
-            ids = []
-            for a, b in zip([0, *ends[:-1]], ends, strict=True):
-                own = numbers[a:b]
-                length = lengths[own]
-                at = np.repeat(starts[own] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-                ids.append(values[at].tobytes())
-            table = pa.ipc.open_stream(rows).read_all()
-            out.append(table.append_column("ids", pa.array(ids, pa.binary())))
-        return pa.concat_tables(out) if out else empty.to_arrow_schema().empty_table()
-
-    fields = [*schema.fields, T.StructField("ids", T.BinaryType())]
-    empty = _Empty(T.StructType(fields))
-    return texts.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(put_together, T.StructType(fields))
-
-
-class _Empty:
-    def __init__(self, schema: T.StructType):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        self.schema = to_arrow_schema(schema)
-
-    def to_arrow_schema(self) -> pa.Schema:
-        return self.schema
+        for batch in batches:
+            for row in range(batch.num_rows):
+                numbers, sizes, rows = (unpack.decompress(batch.column(c)[row].as_py()) for c in ("numbers", "sizes", "rows"))
+                ids = [array("I", w).tobytes() for w in batch.column("words")[row].as_py()]
+                numbers, ends = np.frombuffer(numbers, np.uint32).tolist(), np.cumsum(np.frombuffer(sizes, np.uint32)).tolist()
+                table = pa.ipc.open_stream(rows).read_all().combine_chunks()
+                made = pa.array([b"".join(map(ids.__getitem__, numbers[a:b])) for a, b in zip([0, *ends], ends, strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.chunk(0) for c in table.columns), made], names=[*names, "ids"])
+
+    offsets, entries = pair_table(ranks_path)
+    tables = F.struct(_literal(offsets, T.IntegerType()).alias("offsets"), _literal(entries, T.LongType()).alias("entries"))
+    folded = _let(tables, lambda t: F.transform("words", lambda word: fold_merges(word, t)))
+    made = docs.mapInArrow(split, "numbers binary, sizes binary, rows binary, words array<array<int>>")
+    return made.select("numbers", "sizes", "rows", folded.alias("words")).mapInArrow(put_together, _schema(carried, {"ids": "binary"}))
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -163,11 +165,33 @@ def test_repeated_text_keeps_columns(spark):
 def test_byte_bpe(spark, style):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(BYTE_BPE), special_tokens={})
     docs = frame(spark)
-    made = byte_bpe.decode(byte_bpe.encode(docs, BYTE_BPE, public_tokenizers.PATTERN, style=style), BYTE_BPE).collect()
+    made = byte_bpe.decode(byte_bpe.encode(docs, BYTE_BPE, public_tokenizers.PATTERN, style=style, batch_bytes=5000), BYTE_BPE).collect()
     assert pairs((r.doc_id, np.frombuffer(r.ids, "<u4").tolist(), bytes(r.decoded).decode()) for r in made) == pairs((k, own.encode_ordinary(t or ""), t or "") for k, t in texts())
     assert byte_bpe.encode(docs.limit(0), BYTE_BPE, public_tokenizers.PATTERN, style=style).count() == 0
 
 
+def test_pattern_knows_letters_as_the_library_does():
+    """Every code point, before and after letters, numbers, spaces and signs."""
+    find = byte_bpe.finder(public_tokenizers.PATTERN)
+    classes = {}
+    for cls, sample in ((r"\p{L}", "a"), (r"\p{N}", "1")):
+        library = tiktoken.Encoding("x", pat_str=cls, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        points = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF)
+        classes[sample] = set(bytes(library.encode_ordinary(points)).decode())
+    for c in map(chr, range(0x80, 0x110000)):
+        if "\ud800" <= c <= "\udfff":
+            continue
+        for sample, members in classes.items():
+            assert (find(sample + c) == [sample + c]) == (c in members), hex(ord(c))
+    draw = random.Random(8)
+    folder = byte_bpe._WordFolder(BYTE_BPE, public_tokenizers.PATTERN)
+    real = tiktoken.Encoding("real", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(BYTE_BPE), special_tokens={})
+    odd = [chr(c) for c in range(0x80, 0x40000) if regex.match(f"[{byte_bpe.NEWER_LETTERS}{byte_bpe.NEWER_NUMBERS}]", chr(c))]
+    for _ in range(3000):
+        text = "".join(draw.choice(["a", "1", " ", "\n", "!", "'s", draw.choice(odd), draw.choice(odd), "é"]) for _ in range(8))
+        assert np.frombuffer(folder.text(text), "<u4").tolist() == real.encode_ordinary(text)
+
+
 @pytest.fixture(scope="module")
 def library_ids():
     own = Tokenizer.from_file(WORD_BPE)
