@@ -1,19 +1,25 @@
 """Main text of web pages by block rules in two passes.
 
-Markup is cut into blocks. Pass 1 decides a block by where it stands (a menu, footer, advert, form, comment section, or
-an article) and else by its length, link density and stop-word density; short blocks without a clear sign stay
-ambiguous. Pass 2 gives each ambiguous block the label of its nearest decided neighbours: good if both are good, or if
-the nearer one is. Pages are independent of each other: there is no shuffle.
-
-Defined cases: null and empty html give the empty text; broken markup is read as far as it goes, unclosed elements end
-with their container; repeated rows are kept; an empty table gives an empty result; further columns pass through,
-except those that clash with the result's.
+Markup is cut into blocks. Pass 1 decides by link density, length and stop-word density: many links make a block bad,
+long prose makes it good, and what is short or unlike prose stays ambiguous. Where a block stands is a further feature of
+the rules: nothing in a menu, footer, advert, form or comment section becomes good, nor anything outside of the article
+if the page marks one, and links alone don't make a block of the article bad. Pass 2 gives each ambiguous block the label
+of its nearest decided neighbour outside of such places, where each border of a container counts as BORDER blocks; a block of an article looks
+within that article. Pages are independent of each other: there is no shuffle. A page is read in one scan, in time
+proportional to its length.
+
+Defined cases: null and empty html give the empty text; where no block of a page or article can be decided, its
+ambiguous blocks are good; broken markup is read as far as it goes: an element that isn't closed ends with its container,
+a tag, comment, script or style that isn't closed goes to the end of the page, a quote that isn't closed is no quote;
+repeated rows are kept; an empty table gives an empty result; further columns pass through, except those that clash with
+the result's.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,9 +30,9 @@ from sparkloom.llm import _text as tx
 from sparkloom.llm.quality import _schema, _with_columns
 
 LONG_WORDS = 25
-SHORT_WORDS = 10
 MAX_LINKS = 0.35
 MIN_STOP = 0.2
+BORDER = 3
 
 # Frequent function words of the languages served.
 STOP_WORDS = frozenset(
@@ -36,10 +42,12 @@ STOP_WORDS = frozenset(
     "el los las y del se por con una su para como más pero sus ya este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante".split()
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|math|button|option)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)",
-    re.S | re.I,
-)
+_RAW = {name: re.compile(rf"</{name}(?![a-z0-9])[^>]*>?", re.I) for name in "script style noscript template textarea select svg iframe object math button".split()}
+#: These go to the end of the page where they aren't closed; the tags of the others are passed over then.
+_RAW_TO_THE_END = frozenset("script style textarea".split())
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)")
+_VALUE = re.compile(r"[>=]")
+_WHITE = re.compile(r"\s*")
 _CONTAINER = frozenset("html head body div section article main header footer nav aside form ul ol dl table fieldset figure details dialog menu blockquote center title address".split())
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr pre hr caption figcaption summary tbody thead tfoot legend".split())
 _SPACE = frozenset("br td th wbr img".split())
@@ -54,13 +62,17 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 @dataclass
 class Block:
+    """place: blocks and borders before it. article: the number of the article that it is in, or -1."""
+
     text: str
     words: int
     link_share: float
     stop_share: float
     bad_place: bool
-    in_article: bool
+    article: int
+    place: int
     label: str = ""
+    why: str = ""
 
 
 def _attributes(raw: str) -> tuple[bool, bool]:
@@ -75,96 +87,137 @@ def _attributes(raw: str) -> tuple[bool, bool]:
     return bad and not main, main
 
 
+def tokens(page: str) -> Iterator[tuple[str, bool, str]]:
+    """(name, whether it ends, attributes) of each tag and ("", False, text) of each text, in one scan."""
+    at, size = 0, len(page)
+    no_more: set[str] = set()  # what a search to the end of the page has missed
+
+    def end_of_tag(pos: int) -> int:
+        while True:
+            m = _VALUE.search(page, pos)
+            if not m:
+                return size
+            pos = m.end()
+            if m[0] == ">":
+                return pos
+            pos = _WHITE.match(page, pos).end()
+            quote = page[pos : pos + 1]
+            if quote in ("'", '"') and quote not in no_more:
+                close = page.find(quote, pos + 1)
+                if close < 0:
+                    no_more.add(quote)
+                else:
+                    pos = close + 1
+
+    while at < size:
+        start = page.find("<", at)
+        if start < 0:
+            yield "", False, page[at:]
+            return
+        if start > at:
+            yield "", False, page[at:start]
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            continue
+        m = _NAME.match(page, start + 1)
+        if not m:
+            if page[start + 1 : start + 2] in ("!", "?", "/"):
+                end = page.find(">", start)
+                at = size if end < 0 else end + 1
+            else:
+                yield "", False, "<"
+                at = start + 1
+            continue
+        name, ending = m[1].lower(), page[start + 1] == "/"
+        at = end_of_tag(m.end())
+        if name not in _RAW:
+            yield name, ending, page[m.end() : at - 1]
+        elif not ending and name not in no_more:
+            close = _RAW[name].search(page, at)
+            if close:
+                at = close.end()
+            else:
+                no_more.add(name)
+                at = size if name in _RAW_TO_THE_END else at
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, int]] = [("", False, -1)]  # tag, whether it or one around it is bad, article
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     links: list[str] = []
-    state = {"link": 0, "leaf_bad": False}
+    in_link = leaf_bad = False
+    borders = articles = 0
 
     def close() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             words = text.lower().split()
             linked = len(" ".join(html.unescape("".join(links)).split()))
-            found.append(
-                Block(
-                    text,
-                    len(words),
-                    linked / len(text),
-                    sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words),
-                    state["leaf_bad"] or any(bad for _, bad, _ in stack),
-                    any(main for _, _, main in stack),
-                )
-            )
+            stop = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words)
+            found.append(Block(text, len(words), linked / len(text), stop / len(words), leaf_bad or stack[-1][1], stack[-1][2], len(found) + BORDER * borders))
         parts.clear()
         links.clear()
-        state["leaf_bad"] = False
-
-    for m in _TOKEN.finditer(page):
-        text = m[5]
-        if text is not None:
-            parts.append(text)
-            if state["link"]:
-                links.append(text)
-            continue
-        tag = m[3]
-        if tag is None:
-            continue
-        tag, ending = tag.lower(), bool(m[2])
-        if tag == "a":
-            state["link"] = 0 if ending else 1
+
+    for tag, ending, rest in tokens(page):
+        if not tag:
+            parts.append(rest)
+            if in_link:
+                links.append(rest)
+        elif tag == "a":
+            in_link = not ending
         elif tag in _SPACE:
             parts.append(" ")
         elif tag in _CONTAINER:
             close()
-            state["link"] = 0
+            in_link = leaf_bad = False
             if not ending:
-                bad, main = _attributes(m[4]) if m[4].strip(" /") else (False, False)
-                stack.append((tag, bad or tag in _BAD_TAG, main or tag in ("article", "main")))
-            elif any(t == tag for t, _, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+                borders += 1
+                bad, main = _attributes(rest) if rest.strip(" /") else (False, False)
+                article = stack[-1][2]
+                if main or tag in ("article", "main"):
+                    article, articles = articles, articles + 1
+                stack.append((tag, stack[-1][1] or bad or tag in _BAD_TAG, article))
+                open_tags[tag] += 1
+            elif open_tags[tag]:
+                borders += 1
+                gone = None
+                while gone != tag:
+                    gone = stack.pop()[0]
+                    open_tags[gone] -= 1
         elif tag in _LEAF:
             close()
-            if not ending and m[4].strip(" /"):
-                state["leaf_bad"] = _attributes(m[4])[0]
+            leaf_bad = not ending and bool(rest.strip(" /")) and _attributes(rest)[0]
     close()
     return found
 
 
 def classify(found: list[Block]) -> list[Block]:
-    """Labels good or bad for every block."""
-    has_article = any(b.in_article and not b.bad_place for b in found)
+    """Labels good or bad for every block, and why: links, prose, length, place or neighbour."""
+    has_article = any(b.article >= 0 and not b.bad_place for b in found)
     for b in found:
-        if b.bad_place or (has_article and not b.in_article):
-            b.label = "bad"
-        elif b.in_article:
-            b.label = "good"
-        elif b.link_share > MAX_LINKS:
-            b.label = "bad"
-        elif b.words >= LONG_WORDS:
-            b.label = "good"
-        elif b.words >= SHORT_WORDS and b.stop_share >= MIN_STOP:
-            b.label = "good"
-    decided = [i for i, b in enumerate(found) if b.label]
-    before, given = None, {}
-    after = iter(decided)
-    nxt = next(after, None)
+        if b.link_share > MAX_LINKS and (b.article < 0 or b.bad_place):
+            b.label, b.why = "bad", "links"
+        elif b.bad_place or (has_article and b.article < 0):
+            b.label, b.why = "bad", "place"
+        elif b.words >= LONG_WORDS and b.link_share <= MAX_LINKS:
+            b.label, b.why = "good", "prose" if b.stop_share >= MIN_STOP else "length"
+    nearest: dict[int, tuple[int, str]] = {}
+    for order in (found, reversed(found)):
+        last: dict[int, Block] = {}
+        for i, b in zip(range(len(found)) if order is found else range(len(found) - 1, -1, -1), order, strict=True):
+            own = b.article if b.article >= 0 else -1
+            if not b.label:
+                if own in last and (i not in nearest or abs(b.place - last[own].place) < nearest[i][0]):
+                    nearest[i] = (abs(b.place - last[own].place), last[own].label)
+            elif not b.bad_place:
+                last[own] = b
     for i, b in enumerate(found):
-        if b.label:
-            before = i
-            nxt = next(after, None) if nxt == i else nxt
-            continue
-        left, right = found[before].label if before is not None else "", found[nxt].label if nxt is not None else ""
-        if left == right:
-            given[i] = left or "bad"
-        else:
-            far = len(found) + 1
-            given[i] = left if (i - before if before is not None else far) <= (nxt - i if nxt is not None else far) else right
-    for i, label in given.items():
-        found[i].label = label
+        if not b.label:
+            b.label, b.why = (nearest[i][1], "neighbour") if i in nearest else ("good", "place")
     return found
 
 
