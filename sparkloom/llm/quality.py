@@ -1,8 +1,10 @@
 """Quality rules as a short-circuit cascade whose order comes from measured cost and selectivity.
 
-Every rule is a predicate over a slice of texts. ``plan_cascade`` times each rule on a bounded sample of rows and
-counts what it rejects; rules then run in order of rejections per second, and each sees only the texts that the
-rules before it let pass. The order changes the time, never the verdict: a text is kept if no rule rejects it.
+Every rule is a predicate over a slice of texts, by features that rules may share. Each task takes its own first slice as
+the sample: ``plan`` times the features on it, counts what the rules reject, and puts next, again and again, the rule that
+rejects most of what is left per second of the features that it still needs. The rules then run in that order, and each
+sees only the texts that the rules before it let pass. So samples are spread over the table, no row goes to the driver,
+and no text is read twice. The order changes the time, never the verdict: a text is kept if no rule rejects it.
 
 Defined cases: null and empty texts have no words and fail the base rule; an empty table gives an empty result;
 repeated rows and repeated ids are judged each on its own; further columns pass through, except that the result's
@@ -17,14 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from sparkloom.llm import _text as tx
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
-SAMPLE_ROWS = 512
 
 _WHITE = tx.separator_table(tx.WHITE)
 _SYMBOL = np.zeros(256, bool)
@@ -90,7 +91,7 @@ class Slice:
         start = start[start < len(self.data)]
         text = np.searchsorted(self.offsets, start, side="right") - 1
         end = np.append(start[1:], len(self.data))
-        end = end - (self.data[np.maximum(end - 1, 0)] == 10)
+        end = end - (self.data[end - 1] == 10) if len(self.data) else start
         words = np.zeros(len(self.data) + 1, np.int64)
         np.cumsum(~_WHITE[self.data], out=words[1:])
         end = np.maximum(end, start)
@@ -103,12 +104,17 @@ class Slice:
         self._known["n_dup_lines"] = np.bincount(text[order][same], minlength=n).astype(np.int64)
         return self._known["n_lines"], self._known["n_dup_lines"]
 
-    def _hashed_words(self):
+    def _hashes(self):
+        """Hashes of the words of all texts; not by text, so not among what only() keeps."""
         if not hasattr(self, "_scan"):
-            self.get("n_words") if "n_words" not in self._known else self._n_words()
-        if not hasattr(self, "_hashes"):
-            self._hashes = tx.span_hashes(self.data, self._scan.start, self._scan.end)
-        return self._scan, self._hashes
+            self._n_words()
+        self._of_words = tx.span_hashes(self.data, self._scan.start, self._scan.end)
+        return np.zeros(len(self.offsets) - 1, np.int64)
+
+    def _hashed_words(self):
+        if not hasattr(self, "_of_words"):
+            self._hashes()
+        return self._scan, self._of_words
 
     def _stutter(self):
         """Words equal to the word before them in the same text."""
@@ -137,9 +143,10 @@ class Slice:
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects(slice) says of each text whether the rule rejects it."""
+    """rejects(slice) says of each text whether the rule rejects it, by the features that it needs."""
 
     name: str
+    needs: tuple[str, ...]
     rejects: Callable[[Slice], np.ndarray]
 
 
@@ -147,34 +154,34 @@ def rules(symbols: int = 25, capitals: int = 50, mean_word: tuple[int, int] = (2
     """The rules of the cascade. Thresholds are per cent of words, letters or lines, and characters of a mean word."""
     low, high = mean_word
     return [
-        Rule("few_words", lambda s: s.get("n_words") < MIN_WORDS),
-        Rule("symbols", lambda s: 100 * s.get("n_symbols") > symbols * s.get("n_words")),
-        Rule("capitals", lambda s: 100 * s.get("upper") > capitals * s.get("letters")),
-        Rule("mean_word", lambda s: (s.get("word_chars") < low * s.get("n_words")) | (s.get("word_chars") > high * s.get("n_words"))),
-        Rule("lines_again", lambda s: 100 * s.get("n_dup_lines") > dup_lines * s.get("n_lines")),
-        Rule("stutter", lambda s: 100 * s.get("stutter") > stutter * s.get("n_words")),
-        Rule("windows_again", lambda s: 100 * s.get("n_repeat_words") > REPEAT_PERCENT * s.get("n_words")),
+        Rule("few_words", ("n_words",), lambda s: s.get("n_words") < MIN_WORDS),
+        Rule("symbols", ("n_words", "n_symbols"), lambda s: 100 * s.get("n_symbols") > symbols * s.get("n_words")),
+        Rule("capitals", ("upper", "letters"), lambda s: 100 * s.get("upper") > capitals * s.get("letters")),
+        Rule("mean_word", ("n_words", "word_chars"), lambda s: (s.get("word_chars") < low * s.get("n_words")) | (s.get("word_chars") > high * s.get("n_words"))),
+        Rule("lines_again", ("n_lines", "n_dup_lines"), lambda s: 100 * s.get("n_dup_lines") > dup_lines * s.get("n_lines")),
+        Rule("stutter", ("n_words", "hashes", "stutter"), lambda s: 100 * s.get("stutter") > stutter * s.get("n_words")),
+        Rule("windows_again", ("n_words", "hashes", "n_repeat_words"), lambda s: 100 * s.get("n_repeat_words") > REPEAT_PERCENT * s.get("n_words")),
     ]
 
 
-def plan_cascade(docs: DataFrame, text: str = "text", chosen: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejections per second, the most first, as measured on a sample.
-
-    The sample is bounded by sample_rows (a documented bound: it only sets the order, so it can't change a verdict).
-    """
-    chosen = rules() if chosen is None else chosen
-    rows = docs.select(text).where(F.col(text).isNotNull()).limit(sample_rows).toArrow()
-    data, offsets = tx.text_bytes(rows.column(0))
-    tx.powers(len(data) + 1)
-    rate = {}
-    for rule in chosen:
-        best, rejected = 1e9, 0
-        for _ in range(2):
+def plan(sample: Slice, chosen: list[Rule], known: tuple[str, ...] = ()) -> list[Rule]:
+    """Rules in the order to run them; known: features that are there already, which cost nothing."""
+    cost: dict[str, float] = dict.fromkeys(known, 0.0)
+    for name in [n for rule in chosen for n in rule.needs]:
+        if name not in cost:
             began = time.perf_counter()
-            rejected = int(rule.rejects(Slice(data, offsets)).sum()) if len(offsets) > 1 else 0
-            best = min(best, time.perf_counter() - began)
-        rate[rule.name] = rejected / max(best, 1e-6)
-    return sorted(chosen, key=lambda r: -rate[r.name])
+            sample.get(name)
+            cost[name] = time.perf_counter() - began
+    rejected = {rule.name: rule.rejects(sample) for rule in chosen}
+    left, order, alive = list(chosen), [], np.ones(len(sample.offsets) - 1, bool)
+    while left:
+        price = {r.name: max(1e-9, sum(cost[n] for n in r.needs)) for r in left}
+        best = max(left, key=lambda r: ((rejected[r.name] & alive).sum() / price[r.name], -price[r.name]))
+        left.remove(best)
+        order.append(best)
+        alive &= ~rejected[best.name]
+        cost |= dict.fromkeys(best.needs, 0.0)
+    return order
 
 
 def cascade(part: Slice, order: list[Rule]) -> np.ndarray:
@@ -200,16 +207,17 @@ def _schema(docs: DataFrame, new: dict[str, str]) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{k}` {v}" for k, v in new.items()])
 
 
-def assess(docs: DataFrame, text: str = "text", order: list[Rule] | None = None, counts: bool = True) -> DataFrame:
+def assess(docs: DataFrame, text: str = "text", order: list[Rule] | None = None, counts: bool = True, chosen: list[Rule] | None = None) -> DataFrame:
     """docs with kept boolean, and with counts also COUNTS and base_failed, for every row. No shuffle.
 
     The counts are wanted for all rows, so they are then computed before the cascade, which reuses them; without
-    counts the cascade alone runs and computes only what its rules ask for.
+    counts the cascade alone runs and computes only what its rules ask for. order, if given, is taken as it is.
     """
-    order = plan_cascade(docs, text) if order is None else order
+    chosen = rules() if chosen is None else chosen
     new = ({c: "bigint" for c in COUNTS} | {"base_failed": "boolean"} if counts else {}) | {"kept": "boolean"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = order
         for batch in batches:
             for rows in tx.slices(batch, text):
                 part = Slice(*tx.text_bytes(rows.column(text)))
@@ -218,19 +226,23 @@ def assess(docs: DataFrame, text: str = "text", order: list[Rule] | None = None,
                     values = {c: part.get(c) for c in COUNTS}
                     out |= {c: pa.array(v, pa.int64()) for c, v in values.items()}
                     out["base_failed"] = pa.array((values["n_words"] < MIN_WORDS) | (100 * values["n_repeat_words"] > REPEAT_PERCENT * values["n_words"]))
-                out["kept"] = pa.array(cascade(part, order))
+                own = plan(part, chosen, (*COUNTS, "n_lines", "hashes") if counts else ()) if own is None else own
+                out["kept"] = pa.array(cascade(part, own))
                 yield _with_columns(rows, out)
 
     return docs.mapInArrow(run, _schema(docs, new))
 
 
-def keep_good(docs: DataFrame, text: str = "text", order: list[Rule] | None = None) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", order: list[Rule] | None = None, chosen: list[Rule] | None = None) -> DataFrame:
     """The rows of docs that the cascade keeps, with the columns of docs."""
-    order = plan_cascade(docs, text) if order is None else order
+    chosen = rules() if chosen is None else chosen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = order
         for batch in batches:
             for rows in tx.slices(batch, text):
-                yield rows.filter(pa.array(cascade(Slice(*tx.text_bytes(rows.column(text))), order)))
+                part = Slice(*tx.text_bytes(rows.column(text)))
+                own = plan(part, chosen) if own is None else own
+                yield rows.filter(pa.array(cascade(part, own)))
 
     return docs.mapInArrow(run, docs.schema)

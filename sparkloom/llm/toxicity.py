@@ -2,13 +2,14 @@
 
 Labels are learned only from rows whose crc32(key as text) mod 3 is not 1, and from MAX_LABELLED of those at most (those
 with the smallest hashes of their keys, so the bound is no prefix of the table). The lexicon of words and word
-beginnings that mark toxic texts is counted on those rows; its densities, the nearness of second-person words, capitals,
-punctuation and obfuscation make the features. One fold of the rows, kept from the trees, calibrates their score.
+beginnings that mark toxic texts is counted on three folds of those rows; its densities, the nearness of second-person
+words, capitals, punctuation and obfuscation make the features of the trees, which learn from the same folds. The fourth
+fold, kept from lexicon and trees, calibrates their score.
 Scoring has no shuffle. The key, labels, language and source are never inputs of a score.
 
 Defined cases: null and empty texts have zero features and get a score as others do; where the labels at hand have one
 class only, the score is that label's; repeated rows are scored each; an empty table gives an empty result; further
-columns are ignored.
+columns, such as score or held_out, are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ from sparkloom.llm import _text as tx
 from sparkloom.llm._shared import stored
 
 MAX_LABELLED = 12_000
-MAX_LEXICON = 400
 MIN_Z = 5.0
 BEGINNINGS = (4, 5, 6, 7)
 NEAR = 5
 THRESHOLD = 0.7
+#: The fold, of four, that calibrates.
+CALIBRATION = 3
 
 # Second-person words of the languages served, and signs that stand for letters.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine euch euer ihr tu te toi ton ta tes vous votre vos tú ti usted ustedes tus vosotros".split())
@@ -88,7 +90,10 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, limit
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """Words and beginnings of words that occur in a larger share of toxic texts, by a z test of the two shares."""
+    """Words and beginnings of words that occur in a larger share of toxic texts, by a z test of the two shares.
+
+    rows are bounded by what learn() takes, and so is the lexicon that the driver gets.
+    """
     n = {r["_toxic"]: r["n"] for r in rows.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = n.get(1.0, 0), n.get(0.0, 0)
     if not bad or not good:
@@ -100,7 +105,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     p = F.col("n") / (bad + good)
     z = (F.col("t") / bad - (F.col("n") - F.col("t")) / good) / F.sqrt(p * (1 - p) * (1 / bad + 1 / good))
     lift = (F.col("t") / bad) / ((F.col("n") - F.col("t") + 1) / good)
-    top = counts.where((F.col("t") >= 3) & (F.col("n") < bad + good)).where((z >= MIN_Z) & (lift >= 4)).orderBy(z.desc(), "unit").limit(MAX_LEXICON).collect()
+    top = counts.where((F.col("t") >= 3) & (F.col("n") < bad + good)).where((z >= MIN_Z) & (lift >= 4)).select("unit").collect()
     found = [r["unit"] for r in top]
     return Lexicon(frozenset(u for u in found if u[-1] != "-"), frozenset(u[:-1] for u in found if u[-1] == "-"))
 
@@ -167,15 +172,15 @@ def with_features(rows: DataFrame, lexicon: Lexicon, text: str) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, seed: int = 7) -> Model:
     rows = stored(labelled_rows(docs, labels, key, text, max_labelled), "labelled")
-    lexicon = learn_lexicon(rows)
+    lexicon = learn_lexicon(rows.where(F.col("_fold") != CALIBRATION))
     points = stored(with_features(rows, lexicon, "_text"), "points").withColumn("features", array_to_vector("_features"))
-    shares = points.agg(F.avg("_toxic").alias("share"), F.max(F.when(F.col("_fold") == 3, F.col("_toxic"))).alias("top"), F.min(F.when(F.col("_fold") == 3, F.col("_toxic"))).alias("low"), F.max(F.when(F.col("_fold") != 3, F.col("_toxic"))).alias("top_trees"), F.min(F.when(F.col("_fold") != 3, F.col("_toxic"))).alias("low_trees")).first()
+    shares = points.agg(F.avg("_toxic").alias("share"), F.max(F.when(F.col("_fold") == CALIBRATION, F.col("_toxic"))).alias("top"), F.min(F.when(F.col("_fold") == CALIBRATION, F.col("_toxic"))).alias("low"), F.max(F.when(F.col("_fold") != CALIBRATION, F.col("_toxic"))).alias("top_trees"), F.min(F.when(F.col("_fold") != CALIBRATION, F.col("_toxic"))).alias("low_trees")).first()
     if shares["share"] in (None, 0.0, 1.0) or shares["top_trees"] == shares["low_trees"]:
         return Model(lexicon, None, None, shares["share"] or 0.0)
-    trees = GBTClassifier(labelCol="_toxic", featuresCol="features", maxIter=20, maxDepth=4, stepSize=0.2, maxBins=64, minInstancesPerNode=5, seed=seed).fit(points.where("_fold <> 3").coalesce(4))
+    trees = GBTClassifier(labelCol="_toxic", featuresCol="features", maxIter=20, maxDepth=4, stepSize=0.2, maxBins=64, minInstancesPerNode=5, seed=seed).fit(points.where(F.col("_fold") != CALIBRATION).coalesce(4))
     if shares["top"] is None or shares["top"] == shares["low"]:
         return Model(lexicon, trees, None, 0.0)
-    judged = trees.transform(points.where("_fold = 3")).select("_toxic", _chance().alias("_chance"))
+    judged = trees.transform(points.where(F.col("_fold") == CALIBRATION)).select("_toxic", _chance().alias("_chance"))
     return Model(lexicon, trees, IsotonicRegression(labelCol="_toxic", featuresCol="_chance").fit(judged), 0.0)
 
 

@@ -59,10 +59,32 @@ def test_quality_order_changes_no_verdict(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(k for k, good in verdicts[0] if good)
 
 
+def slice_of(rows):
+    raw = [t.encode() for t in rows]
+    return quality.Slice(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64))
+
+
 def test_quality_puts_the_rule_that_pays_first(spark):
-    docs = spark.createDataFrame([(i, "### $$$ " * 30 + str(i)) for i in range(50)], "doc_id bigint, text string")
-    assert quality.plan_cascade(docs)[0].name != "few_words"
-    assert quality.assess(docs.limit(0)).count() == 0
+    sample = ["### $$$ " * 30 + str(i) for i in range(50)] + [prose(i, 60) for i in range(50)]
+    order = [r.name for r in quality.plan(slice_of(sample), quality.rules())]
+    assert sorted(order) == sorted(r.name for r in quality.rules()) and order[0] in ("symbols", "stutter", "windows_again")
+    # What the first rule has rejected or computed doesn't count again: rules that reject nothing more come by their cost.
+    slow = quality.Rule("slow", ("n_repeat_words",), lambda s: np.zeros(len(s.offsets) - 1, bool))
+    quick = quality.Rule("quick", ("n_words",), lambda s: np.zeros(len(s.offsets) - 1, bool))
+    assert [r.name for r in quality.plan(slice_of(sample), [slow, quick])] == ["quick", "slow"]
+    assert [r.name for r in quality.plan(slice_of([]), quality.rules())]
+    assert quality.assess(frame(spark).limit(0)).count() == 0 and quality.keep_good(frame(spark).limit(0)).count() == 0
+
+
+def test_quality_cascade_sees_only_what_is_left():
+    seen = []
+
+    def rule(name, rejects):
+        return quality.Rule(name, (), lambda s: (seen.append((name, len(s.offsets) - 1)), rejects(s))[1])
+
+    part = slice_of(["a b"] * 6 + [prose(1, 30)] * 4)
+    kept = quality.cascade(part, [rule("few", lambda s: s.get("n_words") < 20), rule("none", lambda s: s.get("n_words") < 0)])
+    assert kept.sum() == 4 and seen == [("few", 10), ("none", 4)]
 
 
 # Decontamination
