@@ -58,12 +58,22 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self._spark = spark
         self._tables: dict[int, tuple[DataFrame, str]] = {}
+        self._paths: list[str] = []
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
         self.drop(*(df for df, _ in list(self._tables.values())))
+        for path in self._paths:
+            self._delete(path)
+
+    def path(self, name: str, keep: bool = False) -> str:
+        """A folder of its own in the shared one."""
+        made = fresh_path(self._spark, name)
+        if not keep:
+            self._paths.append(made)
+        return made
 
     def table(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         path = fresh_path(self._spark, name)
@@ -73,8 +83,10 @@ class Scratch:
         return made
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self._spark.sparkContext._jvm
         for df in tables:
             if id(df) in self._tables:
-                path = jvm.org.apache.hadoop.fs.Path(self._tables.pop(id(df))[1])
-                path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                self._delete(self._tables.pop(id(df))[1])
+
+    def _delete(self, path: str) -> None:
+        there = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
