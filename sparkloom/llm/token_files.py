@@ -10,9 +10,14 @@ A data set is a folder in a store that all machines share:
 Every frame can be read alone from its offset and length, so a short document costs one small read. A task writes its
 file under a name of its own and the index names the files of the tasks that succeeded; a repeated task can't harm.
 
-Documents meet in shards by quantiles of their keys. Only compressed frames are shuffled, once.
+Documents meet in shards by ranges of their keys, and of a hash of their frames where one key fills several shards. A
+shard has about SHARD_BYTES of frames, less where that leaves tasks idle, and a task begins another file after FILE_BYTES.
+Only compressed frames are shuffled, once.
 
-Defined cases: null and empty texts have only the end id; repeated keys keep all their rows, in the order of
+The dictionary is trained on SAMPLE_ROWS documents at most, those with the least hashes of their keys, and of a long one
+on SAMPLE_PIECES pieces spread over it. Where they are too few to train on, their ids themselves are the dictionary.
+
+Defined cases: null and empty texts have only the end id; repeated keys keep all their rows, in the order of a hash of
 their content; an empty table gives an empty index; further columns are ignored; null keys come first.
 """
 
@@ -36,13 +41,17 @@ from sparkloom.llm.tokenizing import tokenizer
 
 MAGIC = b"IDSZ0001"
 SAMPLE_ROWS = 1000
+SAMPLE_PIECES, PIECE_CHARS = 4, 4096
 DICTIONARY_BYTES = 64 << 10
-ROWS_PER_SHARD = 8192
+SHARD_BYTES = 256 << 20
+FILE_BYTES = 8 << 20
+#: Keys sampled for each shard, by which ranges are cut.
+KEYS_PER_SHARD = 40
 LEVEL = 3
 END_ID = 1
 
 INDEX_SCHEMA = "doc_id bigint, shard int, file string, offset bigint, length bigint, n_tokens bigint, before bigint"
-_FRAMES = "doc_id bigint, shard int, n_tokens bigint, frame binary"
+_FRAMES = "doc_id bigint, shard int, place bigint, n_tokens bigint, frame binary"
 
 
 @dataclass(frozen=True)
@@ -64,11 +73,11 @@ def _narrow(ids: bytes, width: int) -> bytes:
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A zstandard dictionary; where the samples are too few or too small to train one, an empty one."""
+    """A zstandard dictionary; where the samples are too few or too small to train one, the samples themselves."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 8), samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b""
+        return b"".join(samples)[-size:]
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -79,15 +88,49 @@ def _decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
     return zstandard.ZstdDecompressor(**({"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}))
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, rows_per_shard: int = ROWS_PER_SHARD, sample_rows: int = SAMPLE_ROWS) -> Dataset:
+def _sample(rows: DataFrame, n: int) -> tuple[list[str], list[int]]:
+    """Up to n texts of the least key hashes over the whole table, of a long one SAMPLE_PIECES pieces; whole lengths."""
+    length, room = F.length("text"), SAMPLE_PIECES * PIECE_CHARS
+    pieces = [F.substring("text", (((length - PIECE_CHARS) * i / (SAMPLE_PIECES - 1)) + 1).cast("int"), F.lit(PIECE_CHARS)) for i in range(SAMPLE_PIECES)]
+    short = F.when(length <= room, F.col("text")).otherwise(F.concat(*pieces))
+    made = rows.select(F.xxhash64("doc_id").alias("h"), short.alias("text"), length.alias("n")).orderBy("h", "text").limit(n).toArrow()
+    return made.column("text").to_pylist(), made.column("n").to_pylist()
+
+
+def _shards(rows: DataFrame, n_shards: int, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct cut keys, the shard of keys from each on, and over how many shards a key equal to one is spread."""
+    share = min(1.0, KEYS_PER_SHARD * n_shards / n_rows)
+    keys = rows.where("doc_id IS NOT NULL").select("doc_id").sample(share, 1).toArrow().column(0).to_numpy()
+    keys = np.sort(keys)
+    cuts = keys[(np.arange(1, n_shards) * len(keys)) // n_shards] if len(keys) else keys
+    values, count = np.unique(cuts, return_counts=True)
+    return values, np.cumsum(count) - count, count
+
+
+def _place(keys: np.ndarray, hashes: np.ndarray, shards: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shard of each row, ascending by key and, among rows of one key, by hash (unsigned)."""
+    values, before, count = shards
+    if not len(values):
+        return np.zeros(len(keys), np.int32)
+    at = np.searchsorted(values, keys)
+    total = int(count.sum())
+    shard = np.append(before, total)[at]
+    same = np.flatnonzero((at < len(values)) & (values[np.minimum(at, len(values) - 1)] == keys))
+    spread = count[at[same]] + 1
+    shard[same] += ((hashes[same] >> np.uint64(32)) * spread.astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    return shard.astype(np.int32)
+
+
+def write(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, sample_rows: int = SAMPLE_ROWS) -> Dataset:
     """Encodes every text, appends end_id and writes the data set to path, a folder URI."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = tokenizer(tokenizer_path)
     width = _width(max(own.vocabulary, end_id + 1))
     end = array("I", [end_id]).tobytes()
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0).select(F.substring("text", 1, 1 << 14).alias("text")).limit(sample_rows).toArrow().column(0)
-    dictionary = train_dictionary([_narrow(x + end, width) for x in own.encode([t.encode() for t in sample.to_pylist()])])
+    texts, lengths = _sample(rows, sample_rows)
+    sample = [_narrow(x + end, width) for x in own.encode([t.encode() for t in texts])]
+    dictionary = train_dictionary(sample)
     digest = hashlib.sha256(dictionary).hexdigest()
     fs, root = _fs(path)
     fs.create_dir(f"{root}/shards", recursive=True)
@@ -95,8 +138,11 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id",
         f.write(dictionary)
 
     n_rows = rows.count()
-    n_shards = max(1, -(-n_rows // rows_per_shard))
-    bounds = np.array(rows.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [i / n_shards for i in range(1, n_shards)], 0.1 / n_shards) if n_shards > 1 else [], float)
+    pack = _compressor(dictionary)
+    per_row = sum(len(pack.compress(x)) * n / max(1, len(t)) for x, t, n in zip(sample, texts, lengths, strict=True)) / max(1, len(sample))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_shards = max(1, int(per_row * n_rows / shard_bytes), min(tasks, int(per_row * n_rows / file_bytes)))
+    shards = _shards(rows, n_shards, n_rows) if n_shards > 1 else _shards(rows.limit(0), 1, 1)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, pack = tokenizer(tokenizer_path), _compressor(dictionary)
@@ -104,9 +150,11 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id",
             for part in tx.slices(batch, "text"):
                 ids = [x + end for x in known.encode(part.column("text").cast(pa.binary()).to_pylist())]
                 keys = part.column("doc_id")
-                shard = np.searchsorted(bounds, keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
                 frames = [pack.compress(_narrow(x, width)) for x in ids]
-                yield pa.RecordBatch.from_arrays([keys, pa.array(shard.astype(np.int32)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "shard", "n_tokens", "frame"])
+                hashes = np.array([int.from_bytes(hashlib.blake2b(f, digest_size=8).digest(), "little") for f in frames], np.uint64)
+                shard = _place(keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), hashes, shards)
+                place = pa.array((hashes >> np.uint64(1)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(shard), place, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "shard", "place", "n_tokens", "frame"])
 
     header = MAGIC + bytes.fromhex(digest) + bytes([width])
 
@@ -116,10 +164,11 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id",
         for batch in batches:
             rows = {k: [] for k in ("file", "offset", "length", "before")}
             for number, n, frame in zip(batch.column("shard").to_pylist(), batch.column("n_tokens").to_pylist(), batch.column("frame").to_pylist(), strict=True):
-                if number != shard:
+                if number != shard or at >= file_bytes:
                     if out:
                         out.close()
-                    shard, name, at, before = number, f"shards/{number:08d}-{uuid.uuid4().hex}.ids", len(header), 0
+                    before = before if number == shard else 0
+                    shard, name, at = number, f"shards/{number:08d}-{uuid.uuid4().hex}.ids", len(header)
                     out = fs.open_output_stream(f"{root}/{name}")
                     out.write(header)
                 out.write(frame)
@@ -135,7 +184,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id",
             out.close()
 
     frames = rows.mapInArrow(encode, _FRAMES)
-    ordered = frames.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "frame")
+    ordered = frames.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "place", "frame")
     ordered.mapInArrow(write_shards, INDEX_SCHEMA).write.parquet(f"{path}/index")
     return Dataset(path, digest)
 
