@@ -4,8 +4,8 @@ Stored counts are keyed by the digest of a text's normalised content and the dig
 finds the digests that the cache lacks, encodes one text for each of them, appends those counts to the cache, and then
 joins the whole table to it.
 
-Shuffles: digests only to find what is missing; the texts once, by digest and row, so that a text with very many copies
-doesn't gather in one task; digests and counts for the last join, which AQE may split where one digest is hot.
+Shuffles: digests only to find what is missing; one text of each digest and task, by digest, of all texts or, where few
+digests are missing, of those alone; digests and counts for the last join, which AQE may split where one digest is hot.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows and ids each get their row; an empty table
 gives an empty result and leaves the cache as it is; further columns are ignored.
@@ -24,6 +24,8 @@ from sparkloom.llm.tokenizing import tokenizer, version_digest
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens bigint"
 LIMIT = 2048
+#: Up to so many missing digests are broadcast to pick their texts.
+BROADCAST_ROWS = 200_000
 
 
 def normalised(text: Column, by_word: bool) -> tuple[Column, str]:
@@ -56,8 +58,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
     )
     rows = stored(digested, "digests")
     store = read_cache(spark, cache, version)
-    missing = rows.groupBy("_digest").agg(F.min("_key").alias("_key")).join(store.withColumnRenamed("digest", "_digest"), "_digest", "left_anti")
-    texts = _texts_of(docs, missing, key, text, content)
+    missing = rows.select("_digest").distinct().join(store.withColumnRenamed("digest", "_digest"), "_digest", "left_anti")
+    texts = _texts_of(docs, missing, rows.isEmpty() or store.isEmpty(), text, content)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tokenizer(tokenizer_path)
@@ -71,8 +73,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
     return rows.join(counts, rows["_digest"] == counts["digest"]).select(F.col("_key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def _texts_of(docs: DataFrame, missing: DataFrame, key: str, text: str, content: Column) -> DataFrame:
-    """One text for each missing digest. The join is by digest and key, so copies of one text are spread by their keys."""
-    all_texts = docs.select(F.col(key).alias("_key"), F.unhex(F.sha2(content, 256)).alias("_digest"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    same = (all_texts["_digest"] == missing["_digest"]) & all_texts["_key"].eqNullSafe(missing["_key"])
-    return all_texts.join(missing, same, "left_semi").select("_digest", "_text")
+def _texts_of(docs: DataFrame, missing: DataFrame, all_missing: bool, text: str, content: Column) -> DataFrame:
+    """One text for each missing digest. Copies of a text meet as one row from each task."""
+    texts = docs.select(F.unhex(F.sha2(content, 256)).alias("_digest"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    if not all_missing:
+        missing = stored(missing, "missing")
+        if missing.count() <= BROADCAST_ROWS:
+            texts = texts.join(F.broadcast(missing), "_digest", "left_semi")
+            return texts.groupBy("_digest").agg(F.first("_text").alias("_text"))
+        return texts.groupBy("_digest").agg(F.first("_text").alias("_text")).join(missing, "_digest", "left_semi")
+    return texts.groupBy("_digest").agg(F.first("_text").alias("_text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 WORDS = "the of and to in river stone garden window letter morning evening silver castle bridge winter summer forest mountain paper".split()
 
@@ -28,3 +29,7 @@ def frame(spark, rows=None):
     """With more columns than the operators know, named as some of theirs."""
     made = [(k, t, "src0", 7, True, "x") for k, t in (texts() if rows is None else rows)]
     return spark.createDataFrame(made, "doc_id bigint, text string, source string, n_words int, kept boolean, rid string").repartition(3)
+
+
+def item_words(text):
+    return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))

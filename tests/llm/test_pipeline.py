@@ -12,10 +12,9 @@ import corpus_pipeline
 from sparkloom.llm import byte_bpe
 from sparkloom.llm.queries import BYTE_BPE
 
-from .fixtures import frame, prose, texts
+from .fixtures import frame, item_words, prose, texts
 from .test_other_operators import brute_classes, near_rows
 from .test_text_operators import counted, covered, searched
-from sparkloom.llm import decontaminate
 
 
 def good(t):
@@ -40,7 +39,7 @@ def test_pipeline(spark, tmp_path):
     left = [(k, kept.decode(errors="ignore")) for (k, _), (_, _, _, kept) in zip(left, covered([t.encode() for _, t in left]), strict=True)]
     windows = {}
     for i, t in items:
-        w = decontaminate.item_words(t)
+        w = item_words(t)
         for j in range(len(w) - 9):
             windows.setdefault(tuple(w[j : j + 10]), set()).add(str(i))
     left = [(k, t) for k, t in left if not searched(t, windows)[4]]

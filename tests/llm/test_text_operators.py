@@ -16,7 +16,7 @@ from sparkloom.llm import byte_bpe, decontaminate, quality, repeated_text, token
 from sparkloom.llm._shared import fresh_path
 from sparkloom.llm.queries import BYTE_BPE, WORD_BPE
 
-from .fixtures import frame, prose, texts
+from .fixtures import frame, item_words, prose, texts
 
 
 def pairs(rows):
@@ -91,7 +91,7 @@ def test_quality_cascade_sees_only_what_is_left():
 
 
 def searched(t, windows):
-    w = decontaminate.item_words(t)
+    w = item_words(t)
     hit, items = set(), set()
     for x, owners in windows.items():
         for k in range(len(w) - len(x) + 1):
@@ -106,7 +106,7 @@ def test_decontamination(spark, block_bytes):
     items = [(1, prose(5, 20_000)[:300]), (2, prose(1, 60)), (3, "different"), (4, None), (5, " .. "), (6, "ONE two"), (6, "ONE two"), (11, prose(4, 12)), (None, "x" * 500)]
     windows = {}
     for i, t in items:
-        w = decontaminate.item_words(t)
+        w = item_words(t)
         for k in range(max(1, len(w) - 9) if w else 0):
             windows.setdefault(tuple(w[k : k + 10]), set()).add("" if i is None else str(i))
     bench = spark.createDataFrame(items, "item_id bigint, text string")
@@ -114,6 +114,22 @@ def test_decontamination(spark, block_bytes):
     assert pairs((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in made) == pairs((k, *searched(t, windows)) for k, t in texts())
 
 
+def test_decontamination_by_blocks_runs_one_pass_at_a_time(spark, monkeypatch):
+    """Each block is a job of its own, whose stages have one Python node, and results are those of one block."""
+    items = [(i, prose(200 + i, 14)) for i in range(12)]
+    docs = frame(spark, [(i, prose(200 + i % 12, 14) + " " + prose(300 + i, 30)) for i in range(20)] + [(20, None), (21, prose(400, 40))])
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    loaded = []
+    monkeypatch.setattr(decontaminate, "_deal", lambda *a, f=decontaminate._deal: loaded.append(f(*a)) or loaded[-1])
+    many, one = (decontaminate.find_contamination(docs, bench, block_bytes=size) for size in (400, 1 << 20))
+    assert loaded[0] >= 3 and loaded[1] == 1
+    columns = ["doc_id", *decontaminate.RESULT]
+    assert pairs(map(tuple, many.select(columns).collect())) == pairs(map(tuple, one.select(columns).collect()))
+    assert many.columns == one.columns and "MapInArrow" not in many._jdf.queryExecution().optimizedPlan().toString()
+    clean = decontaminate.drop_contaminated(docs, bench, block_bytes=400)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {20, 21}
+
+
 def test_decontamination_of_nothing(spark):
     docs, none = frame(spark), spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.find_contamination(docs, none).where("contaminated").count() == 0
@@ -233,6 +249,17 @@ def test_token_counts_and_their_cache(spark, library_ids):
     assert token_counts.count_tokens(frame(spark).limit(0), WORD_BPE, cache).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_only_distinct_misses_are_encoded(spark, monkeypatch, few):
+    monkeypatch.setattr(token_counts, "BROADCAST_ROWS", few)
+    cache = fresh_path(spark, "cache")
+    docs = frame(spark, [(None, "one text")] * 5 + [(1, "one text"), (1, "one text"), (2, "another"), (3, None), (4, "")]).selectExpr("*", "1 AS _key", "2 AS n_bytes", "3 AS digest")
+    assert token_counts.count_tokens(docs.where("doc_id = 2"), WORD_BPE, cache).count() == 1
+    made = token_counts.count_tokens(docs, WORD_BPE, cache)
+    assert made.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and made.count() == 10
+    assert sorted(r.n_tokens for r in spark.read.parquet(cache).collect()) == [0, 1, 2]
+
+
 def test_token_counts_of_pieces(spark):
     import sentencepiece
 
@@ -242,21 +269,51 @@ def test_token_counts_of_pieces(spark):
     assert pairs((r.doc_id, r.n_tokens) for r in made.collect()) == pairs((k, len(own.encode(t or ""))) for k, t in texts())
 
 
-def test_token_files(spark, library_ids):
-    written = token_files.write(frame(spark), fresh_path(spark, "ids"), WORD_BPE, rows_per_shard=4)
-    back = token_files.read_documents(token_files.read_index(spark, written), written).collect()
+@pytest.mark.parametrize("file_bytes", [200, 8 << 20])
+def test_token_files(spark, library_ids, file_bytes):
+    docs = frame(spark).selectExpr("*", "1 AS shard", "2 AS offset", "3 AS place")
+    written = token_files.write(docs, fresh_path(spark, "ids"), WORD_BPE, shard_bytes=4000, file_bytes=file_bytes)
+    index = token_files.read_index(spark, written)
+    back = token_files.read_documents(index, written).collect()
     found = sorted(back, key=lambda r: r.start)
     assert [r.start for r in found] == np.cumsum([0] + [len(r.ids) // 4 for r in found])[:-1].tolist()
     keys = [r.doc_id for r in found]
     assert keys == sorted(keys, key=lambda k: (k is not None, k))
     assert pairs((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in back) == pairs((k, [*i, 1]) for k, _, i in library_ids)
-    index = token_files.read_index(spark, written)
+    assert index.select("shard").distinct().count() > 3 and index.select("file").distinct().count() >= index.select("shard").distinct().count()
     one = token_files.read_documents(index.where("doc_id = 4"), written).collect()
     assert len(one) == 1 and one[0].start == next(r.start for r in found if r.doc_id == 4)
     with pytest.raises(Exception, match="dictionary"):
         token_files.read_documents(index, token_files.Dataset(written.path, "0" * 64)).collect()
 
 
+def test_frames_use_a_trained_dictionary(spark):
+    """Many short documents: the dictionary is trained, frames need it, and they are smaller by it."""
+    rows = [(i, prose(5000 + i, 60)) for i in range(400)]
+    written = token_files.write(frame(spark, rows), fresh_path(spark, "ids"), WORD_BPE)
+    with open(written.path.removeprefix("file://") + "/dictionary", "rb") as f:
+        dictionary = f.read()
+    assert len(dictionary) > 1000 and dictionary[:4] == b"\x37\xa4\x30\xec"
+    own = Tokenizer.from_file(WORD_BPE)
+    back = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_files.read_documents(token_files.read_index(spark, written), written).collect()}
+    assert back == {k: [*own.encode(t, add_special_tokens=False).ids, 1] for k, t in rows}
+    raw = np.array(back[0], "<u2").tobytes()
+    plain, shared = (token_files._compressor(d).compress(raw) for d in (b"", dictionary))
+    assert len(shared) < len(plain)
+    with pytest.raises(Exception):
+        token_files._decompressor(b"").decompress(shared)
+
+
+def test_one_key_may_fill_several_shards(spark):
+    rows = [(7, prose(6000 + i, 40)) for i in range(120)] + [(i, prose(7000 + i, 40)) for i in range(20)] + [(None, "x"), (None, "y")]
+    written = token_files.write(frame(spark, rows), fresh_path(spark, "ids"), WORD_BPE, shard_bytes=1000)
+    index = token_files.read_index(spark, written)
+    assert index.where("doc_id = 7").select("shard").distinct().count() > 3
+    back = sorted(token_files.read_documents(index, written).collect(), key=lambda r: r.start)
+    assert [r.start for r in back] == np.cumsum([0] + [len(r.ids) // 4 for r in back])[:-1].tolist()
+    assert [r.doc_id for r in back] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k))
+
+
 def test_token_files_of_nothing(spark):
     written = token_files.write(frame(spark).limit(0), fresh_path(spark, "ids"), WORD_BPE)
     assert token_files.read_index(spark, written).count() == 0
