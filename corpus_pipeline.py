@@ -1,4 +1,10 @@
-"""A corpus pipeline: each stage takes the documents that the stage before it kept."""
+"""A corpus pipeline: each stage takes the documents that the stage before it kept.
+
+Defined cases, in every stage: a null text counts as empty. The quality rules drop texts without words, so later stages
+see none unless they are called alone; there texts without words stay. Rows without an id are documents of their own;
+rows that repeat both id and text are one document and stay or go together. Tables may be empty, and columns beside
+doc_id and text pass through untouched, but for n_chars, which follows the text. The last stage returns its own columns.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkloom.llm import decontaminate, near_duplicates, quality, repeated_text
-from sparkloom.llm._shared import small_batches, stored
+from sparkloom.llm._shared import Scratch, small_batches
 from sparkloom.llm._text import read
 from sparkloom.llm.queries import bpe_digests
 
@@ -21,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
+    """Of each group of near-duplicates one document stays: that with the least id."""
     small_batches(spark)
     return near_duplicates.deduplicate(docs)
 
@@ -29,7 +35,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by a 200-byte string that also starts elsewhere go. Every document stays; n_chars follows its text."""
     small_batches(spark)
-    return repeated_text.remove(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    removed = repeated_text.remove(docs)
+    return removed.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else removed
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. A stage's table goes when the next stage has written its own."""
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    with Scratch(spark) as store:
+        for name, stage in STAGES[:-1]:
+            made = store.table(stage(spark, docs, sf_dir), name, keep=name == STAGES[-2][0])
+            store.drop(docs)
+            docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
