@@ -46,7 +46,9 @@ BLOCK = 512
 #: Up to so many rows of nodes are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Bins of the bag of words that stands for a text while pairs are passed over.
-BINS = 256
+BINS = 1024
+#: Edits up to which diagonals are followed.
+FEW = 8
 _STEP = np.arange(32)
 
 _WHITE = tx.separator_table(tx.WHITE)
@@ -155,10 +157,11 @@ def _least_places(hashed: np.ndarray, place: np.ndarray, begin: np.ndarray, mini
 
 
 def distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
-    """Whether the edit distance of two sequences is at most limit, looking only at diagonals within the limit.
+    """Whether the edit distance of two sequences is at most limit, by alignment within a band of limit diagonals a side.
 
-    For each number of edits the furthest reach on each diagonal of the band is kept (Ukkonen's form of the banded
-    alignment), so similar sequences take few steps.
+    What both begin and end with is taken off, and word counts may rule a short distance out. Up to FEW edits the furthest
+    reach on each diagonal is followed (Ukkonen); beyond, the band is gone through column by column, with the differences
+    of neighbouring cells as bits of whole numbers (Hyyroe).
     """
     if abs(len(a) - len(b)) > limit:
         return False
@@ -172,13 +175,19 @@ def distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
     differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
     tail = int(differ[0]) if len(differ) else n
     a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if not len(a) or not len(b):
+    if not len(a) or not len(b) or max(len(a), len(b)) <= limit:
         return max(len(a), len(b)) <= limit
     values, counts = np.unique(np.concatenate([a, b]), return_counts=True)
     in_a = np.zeros(len(values), np.int64)
     np.add.at(in_a, np.searchsorted(values, a), 1)
     if max(len(a), len(b)) - int(np.minimum(in_a, counts - in_a).sum()) > limit:
         return False
+    if _few_edits(a, b, min(limit, FEW)):
+        return True
+    return limit > FEW and _within_band(a.tolist(), b.tolist(), limit)
+
+
+def _few_edits(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
     goal = len(a) - len(b)
     left = np.concatenate([a.astype(np.int64), np.full(len(_STEP), -1)])
     right = np.concatenate([b.astype(np.int64), np.full(len(_STEP), -2)])
@@ -206,6 +215,37 @@ def distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
     return False
 
 
+def _within_band(a: list[int], b: list[int], limit: int) -> bool:
+    """Bit i of a column's numbers is row column - limit + i of the table, rows being words of a and columns of b.
+
+    The distance is followed down the lowest diagonal of the band to the last row, then along that row.
+    """
+    rows, columns, width = len(a), len(b), 2 * limit + 1
+    where: dict[int, list[int]] = {}
+    for i, word in enumerate(a):
+        where.setdefault(word, []).append(i)
+    places = {word: sum(1 << i for i in at) for word, at in where.items()}
+    full, lowest = (1 << width) - 1, 1 << (width - 1)
+    more, less, distance = full ^ ((1 << limit) - 1), 0, limit
+    down = rows - limit
+    can_fall = columns - down
+    for column, word in enumerate(b):
+        equal = places.get(word, 0)
+        equal = (equal >> (column - limit) if column >= limit else equal << (limit - column)) & full
+        same = ((((equal & more) + more) ^ more) | equal | less) & full
+        right_more, right_less = less | (full ^ (same | more)), same & more
+        if column < down:
+            if not same & lowest:
+                distance += 1
+                if distance - can_fall > limit:
+                    return False
+        else:
+            at = 1 << (width - 2 - (column - down))
+            distance += bool(right_more & at) - bool(right_less & at)
+        more, less = right_less | (full ^ ((same >> 1) | right_more)), (same >> 1) & right_more
+    return distance <= limit
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     longer = max(len(a), len(b))
     return longer > 0 and distance_within(a, b, int((1 - similarity) * longer + 1e-9))
@@ -290,7 +330,7 @@ def _verified(pairs: DataFrame, sequences: DataFrame, similarity: float) -> Data
 
 
 def _bags(sequences: DataFrame) -> DataFrame:
-    """node, n and bag: how often words fall into each of BINS bins; null where a bin has more than fit in a byte."""
+    """node, n, others and bag: how often words fall into each of BINS bins; null where a bin has more than fit in a byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -299,13 +339,13 @@ def _bags(sequences: DataFrame) -> DataFrame:
             for packed in batch.column("words").to_pylist():
                 counts = np.bincount(np.frombuffer(unpack.decompress(packed), "<u4") % BINS, minlength=BINS)
                 bags.append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else None)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(bags, pa.binary())], names=["node", "n", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(bags, pa.binary()), batch.column("others")], names=["node", "n", "bag", "others"])
 
-    return sequences.select("node", "n", "words").mapInArrow(run, "node bigint, n bigint, bag binary")
+    return sequences.select("node", "n", "words", "others").mapInArrow(run, "node bigint, n bigint, bag binary, others array<bigint>")
 
 
 _BLOCK_KEY = ["bucket", "i", "j"]
-_BLOCK_ROW = [*_BLOCK_KEY, "first", "main", "node", "label", "n", "bag"]
+_BLOCK_ROW = [*_BLOCK_KEY, "first", "main", "node", "label", "n", "bag", "others"]
 
 
 def _blocks(members: DataFrame, labels: DataFrame, sequences: DataFrame, store: Scratch) -> DataFrame:
@@ -318,7 +358,8 @@ def _blocks(members: DataFrame, labels: DataFrame, sequences: DataFrame, store:
     parts = parts.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
     counts = parts.select("bucket", F.col("largest.label").alias("largest"), F.ceil(F.col("all") / BLOCK).alias("js"), F.ceil((F.col("all") - F.col("largest.n")) / BLOCK).alias("is"))
     open_ = store.table(known.join(counts, "bucket"), "open")
-    bags = _bags(sequences.join(open_.select("node").distinct(), "node", "left_semi"))
+    own = open_.groupBy("node").agg(F.collect_list("bucket").alias("others"))  # a text has as many buckets as sketches
+    bags = store.table(_bags(sequences.join(own, "node")), "bags")
     rows = open_.join(bags, "node").withColumn("main", F.col("label") == F.col("largest"))
     salt = F.xxhash64("node")
     firsts = rows.where("not main").select("*", F.pmod(salt, F.col("is")).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("js") - 1)).alias("j"), F.lit(True).alias("first"))
@@ -344,9 +385,28 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(begun)
 
 
-def _possible(block: pa.RecordBatch, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def _meet_earlier(block: pa.RecordBatch, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of x and y also share a bucket with a lesser key."""
+    lists = block.column("others")
+    row = np.repeat(np.arange(block.num_rows), np.diff(lists.offsets.to_numpy()))
+    others = lists.flatten().to_numpy()
+    earlier = others < block.column("bucket")[0].as_py()
+    _, number, count = np.unique(others[earlier], return_inverse=True, return_counts=True)
+    row, number = row[earlier][count[number] > 1], (np.cumsum(count > 1) - 1)[number[count[number] > 1]]
+    met = np.zeros((len(x), len(y)), bool)
+    for low in range(0, int((count > 1).sum()), 2048):
+        here = (number >= low) & (number < low + 2048)
+        has = np.zeros((block.num_rows, 2048), np.float32)
+        has[row[here], number[here] - low] = 1
+        met |= has[x] @ has[y].T > 0
+    return met
+
+
+def _possible(block: pa.RecordBatch, similarity: float) -> list[tuple[int, int]]:
     """Nodes of the pairs of a block that have ends in different components, and lengths and bags that allow a link.
 
+    A pair that shares several buckets counts in the one with the least key.
+
     An edit changes one word, so a link needs all but (1 - similarity) of the longer text's words in common, and no more
     words are in common than the bins of both bags are.
     """
@@ -356,31 +416,50 @@ def _possible(block: pa.RecordBatch, similarity: float) -> tuple[np.ndarray, np.
     longer = np.maximum(n[x][:, None], n[y])
     limit = ((1 - similarity) * longer + 1e-9).astype(np.int64)
     wanted = (labels[x][:, None] != labels[y]) & (main[y] | (nodes[x][:, None] < nodes[y])) & (np.abs(n[x][:, None] - n[y]) <= limit)
+    wanted &= ~_meet_earlier(block, x, y)
     if not wanted.any():
-        return nodes[:0], nodes[:0]
+        return []
     bags = block.column("bag")
     unknown = bags.is_null().to_numpy(zero_copy_only=False)
     bins = np.frombuffer(b"".join(bytes(BINS) if b is None else b for b in bags.to_pylist()), np.uint8).reshape(-1, BINS)
     for at in np.flatnonzero(wanted.any(axis=1)):
         others = np.flatnonzero(wanted[at])
         others = others[~unknown[y[others]]] if not unknown[x[at]] else others[:0]
-        common = np.minimum(bins[x[at]], bins[y[others]]).sum(axis=1, dtype=np.int64)
+        common = np.minimum(bins[x[at]], bins[y[others]]).sum(axis=1, dtype=np.uint32).astype(np.int64)
         wanted[at, others] = common >= longer[at, others] - limit[at, others]
-    one, other = np.nonzero(wanted)
-    return nodes[x[one]], nodes[y[other]]
+    return [(int(nodes[x[i]]), int(nodes[y[j]])) for i, j in np.argwhere(wanted)]
 
 
-def _pairs_across(members: DataFrame, labels: DataFrame, sequences: DataFrame, similarity: float, store: Scratch) -> DataFrame:
-    """Pairs(a, b) that share a bucket but not a component and that may be similar."""
+def _links_across(members: DataFrame, labels: DataFrame, sequences: DataFrame, similarity: float, store: Scratch) -> DataFrame:
+    """Links(a, b) of all pairs that share a bucket but not a component. Pairs are named only inside a block's task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts of a block that have to be aligned, with those that they have to be aligned with."""
+        for block in _by_block(batches):
+            partners: dict[int, list[int]] = {}
+            for a, b in _possible(block, similarity):
+                partners.setdefault(a, []).append(b)
+                partners.setdefault(b, [])
+            if partners:
+                key = [pa.array([block.column(c)[0].as_py()] * len(partners), pa.int64()) for c in _BLOCK_KEY]
+                yield pa.RecordBatch.from_arrays([*key, pa.array(list(partners), pa.int64()), pa.array(list(partners.values()), pa.list_(pa.int64()))], names=[*_BLOCK_KEY, "node", "partners"])
+
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for block in _by_block(batches):
-            a, b = _possible(block, similarity)
-            for at in range(0, len(a), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(side[at : at + (1 << 16)]) for side in (a, b)], names=["a", "b"])
+            packed = dict(zip(block.column("node").to_pylist(), block.column("words").to_pylist(), strict=True))
+            good = []
+            for a, partners in zip(block.column("node").to_pylist(), block.column("partners").to_pylist(), strict=True):
+                if partners:
+                    words = np.frombuffer(unpack.decompress(packed[a]), "<u4")
+                    good += [(a, b) for b in partners if similar(words, np.frombuffer(unpack.decompress(packed[b]), "<u4"), similarity)]
+            if good:
+                yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*good, strict=True)], names=["a", "b"])
 
     together = _blocks(members, labels, sequences, store).repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
-    return together.mapInArrow(run, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    work = store.table(together.mapInArrow(possible, "bucket bigint, i bigint, j bigint, node bigint, partners array<bigint>"), "work")
+    work = work.join(sequences.select("node", "words"), "node").repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
+    return work.mapInArrow(aligned, "a bigint, b bigint")
 
 
 def _known(rows: DataFrame, similarity: float, sketches_: int, minima: int, k: int, more: int) -> DataFrame:
@@ -398,9 +477,8 @@ def _known(rows: DataFrame, similarity: float, sketches_: int, minima: int, k: i
         led = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
         links = store.table(_verified(led, sequences, similarity), "links")
         labels = linked_components(links, store)
-        pairs = store.table(_pairs_across(members, labels, sequences, similarity, store), "pairs")
-        more = store.table(_verified(pairs, sequences, similarity), "links")
-        store.drop(members, sequences, pairs)
+        more = store.table(_links_across(members, labels, sequences, similarity, store), "links")
+        store.drop(members, sequences)
         labels = joined_components(labels.select("id", "label"), more, store)
         ends = links.unionByName(more).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
         linked = store.table(labels.select("id", "label").join(ends, "id").join(about.select(F.col("node").alias("id"), "_id", "_digest"), "id"), "linked")

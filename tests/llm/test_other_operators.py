@@ -36,6 +36,12 @@ def test_banded_alignment():
         b = [x if draw.random() < 0.7 else draw.randint(0, 3) for x in a][: draw.randint(0, 12)] + [draw.randint(0, 3)] * draw.randint(0, 2)
         limit = draw.randint(0, 5)
         assert near_duplicates.distance_within(np.array(a, np.uint32), np.array(b, np.uint32), limit) == (distance(a, b) <= limit)
+    for _ in range(400):
+        a = [draw.randint(0, 9) for _ in range(draw.randint(20, 60))]
+        b = [x if draw.random() < 0.8 else draw.randint(0, 9) for x in a if draw.random() < 0.9] + [draw.randint(0, 9)] * draw.randint(0, 4)
+        limit = draw.randint(max(1, abs(len(a) - len(b))), min(len(a), len(b)) - 1)
+        assert near_duplicates.distance_within(np.array(a, np.uint32), np.array(b, np.uint32), limit) == (distance(a, b) <= limit)
+        assert near_duplicates._within_band(a, b, limit) == (distance(a, b) <= limit)
 
 
 def brute_labels(rows, similarity=0.8):
@@ -240,6 +246,33 @@ def test_toxicity_on_rows_kept_from_learning(spark):
     assert {r.doc_id: r.score for r in toxicity.score(docs, other).collect()} == {i: r.score for i, r in made.items()}
 
 
+def test_lexicon_is_not_learned_from_the_fold_that_calibrates(spark):
+    """Words that mark toxic texts of the calibration fold alone are in no lexicon."""
+    rows, labels = [], []
+    for i in range(900):
+        crc = zlib.crc32(str(i).encode())
+        if crc % 3 == 1:
+            continue
+        toxic, last = i % 4 == 0, crc // 3 % 4 == toxicity.CALIBRATION
+        words = prose(2000 + i, 40).split(" ")
+        rows.append((i, " ".join(words[:20] + (["wretch" if last else "dunce"] * 3 if toxic else []) + words[20:])))
+        labels.append((i, 1, int(toxic)))
+    model = toxicity.learn(frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert "dunce" in model.lexicon.words and "wretch" not in model.lexicon.words
+
+
+def test_toxicity_of_nothing_and_with_clashing_columns(spark):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    docs = frame(spark, [(i, prose(i, 30)) for i in range(60)] + [(None, None), (61, "")]).selectExpr("*", "'x' AS score", "'y' AS held_out", "1 AS predicted", "2 AS _features")
+    model = toxicity.learn(docs, labels)
+    made = toxicity.score(docs, model)
+    assert made.columns == ["doc_id", "held_out", "score", "predicted"] and made.count() == 62
+    assert made.where("score < 0 OR score > 1 OR score IS NULL").count() == 0
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    empty = toxicity.learn(docs.limit(0), labels.limit(0))
+    assert toxicity.score(docs, empty).where("score = 0").count() == 62
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark)
     for labels in ([], [(1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 1)]):
