@@ -2,30 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import math
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str]) -> DataFrame:
+
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str], split: Callable[[Column], Column] | None = None) -> DataFrame:
     """Each left row with the columns of the last right row of the same key at or before its time (null if there is none).
 
     Both sides become one sorted stream per key, so it is one shuffle and one sort and no row meets another but its
-    neighbours. Of right rows with equal times the one with the greatest columns counts.
+    neighbours. Of right rows with equal times the one with the greatest columns counts. split, a function that doesn't
+    fall with time (such as its month), cuts the streams of long keys: each part is sorted alone, and takes the last right
+    row of the parts before it from a table of one row for each key and part.
     """
     picked = F.struct(F.col(right_time).alias("_at"), *columns)
-    stream = left.select(*by, F.col(left_time).alias("_time"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(picked.alias("p")).schema["p"].dataType).alias("_right")).unionByName(
-        right.select(*by, F.col(right_time).alias("_time"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("l")).schema["l"].dataType).alias("_left"), picked.alias("_right"))
-    )
-    order = Window.partitionBy(*by).orderBy("_time", "_side", "_right").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = split or (lambda time: F.lit(0))
+    kinds = {"_left": left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType, "_right": right.select(picked.alias("x")).schema["x"].dataType}
+    lefts = left.select(*by, F.col(left_time).alias("_time"), part(F.col(left_time)).alias("_part"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(kinds["_right"]).alias("_right"))
+    rights = right.select(*by, F.col(right_time).alias("_time"), part(F.col(right_time)).alias("_part"), F.lit(0).alias("_side"), F.lit(None).cast(kinds["_left"]).alias("_left"), picked.alias("_right"))
+    stream = lefts.unionByName(rights)
+    order = Window.partitionBy(*by, "_part").orderBy("_time", "_side", "_right").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = stream.withColumn("_found", F.last("_right", ignorenulls=True).over(order)).where("_side = 1")
+    if split:
+        parts = stream.groupBy(*by, "_part").agg(F.max("_right").alias("_last"))
+        earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = parts.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_part").alias("_by_part"), F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+        same = joined["_part"].eqNullSafe(carried["_by_part"])
+        for c in by:
+            same &= joined[c].eqNullSafe(carried[f"_by_{c}"])
+        joined = joined.join(carried, same, "left").withColumn("_found", F.coalesce("_found", "_carried"))
     return joined.select("_left.*", *(F.col(f"_found.{c}").alias(c) for c in columns))
 
 
 def range_join(points: DataFrame, spans: DataFrame, point: str, start: str, end: str, width: int) -> DataFrame:
     """Pairs of points and spans with start <= point < end, by whole-number columns.
 
-    Spans are listed once for each cell of the given width that they touch, points fall in one cell, and the cells are
-    joined by hash; so choose a width near the usual span.
+    Spans are listed once for each cell that they touch, points fall in one cell, and the cells are joined by hash.
+    Cells are width wide for spans up to that length, and four times as wide on each level above, so a span touches five
+    cells at most, whatever its length; points are listed once for each level that spans have.
     """
-    cells = spans.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)))).where(F.col(end) > F.col(start))
-    placed = points.withColumn("_cell", F.floor(F.col(point) / width))
-    return placed.join(cells, "_cell").where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_cell")
+    length = F.col(end) - F.col(start)
+    level = F.greatest(F.lit(0), F.ceil(F.log(length / width) / math.log(4))).cast("int")
+    leveled = spans.where(F.col(end) > F.col(start)).withColumn("_level", level)
+    levels = sorted(r[0] for r in leveled.select("_level").distinct().collect())  # as many as a whole number has pairs of bits
+    size = F.lit(width) * F.pow(F.lit(4), F.col("_level")).cast("bigint")
+    cells = leveled.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / size), F.floor((F.col(end) - 1) / size))))
+    placed = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_cell", F.floor(F.col(point) / size))
+    return placed.join(cells, ["_level", "_cell"]).where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_level", "_cell")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from sparkloom.functions.codes import brand_code
 from sparkloom.functions.vectors import dot
 from sparkloom.operators import asof_join, range_join, sessions, top_k_per_group
 from sparkloom.sources.tables import load
@@ -113,16 +114,39 @@ ON e.k = o.o_custkey AND e.at >= o.o_orderdate""")
 def asof_last_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events").select("event_id", "user_id", (F.col("ts") - F.expr("INTERVAL 8 YEARS")).alias("at"))
     orders = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderdate", F.col("o_orderkey").alias("last_order"))
-    return asof_join(events, orders, ["user_id"], "at", "o_orderdate", ["last_order"]).select("event_id", "user_id", "last_order")
+    return asof_join(events, orders, ["user_id"], "at", "o_orderdate", ["last_order"], split=lambda time: F.date_trunc("month", time)).select("event_id", "user_id", "last_order")
 
 
 @query("""
-SELECT event_id, p_partkey FROM (SELECT event_id, CAST(floor(value) AS BIGINT) AS v FROM events) e
-JOIN (SELECT p_partkey, CAST(p_size AS BIGINT) * 10 AS lo FROM part WHERE p_partkey % 50 = 7) p ON e.v >= p.lo AND e.v < p.lo + 15""")
+SELECT event_id, CAST(count(*) AS BIGINT) AS n_parts, CAST(sum(p_partkey) AS BIGINT) AS keys FROM
+(SELECT event_id, CAST(floor(value) AS BIGINT) AS v FROM events) e
+JOIN (SELECT p_partkey, CAST(p_size AS BIGINT) * 10 AS lo FROM part) p ON e.v >= p.lo AND e.v < p.lo + 15 GROUP BY event_id""")
 def range_join_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = load(spark, sf_dir, "events").select("event_id", F.floor("value").cast("bigint").alias("v"))
-    parts = load(spark, sf_dir, "part").where("p_partkey % 50 = 7").select("p_partkey", (F.col("p_size").cast("bigint") * 10).alias("lo"))
-    return range_join(points, parts.withColumn("hi", F.col("lo") + 15), "v", "lo", "hi", 16).select("event_id", "p_partkey")
+    parts = load(spark, sf_dir, "part").select("p_partkey", (F.col("p_size").cast("bigint") * 10).alias("lo"))
+    pairs = range_join(points, parts.withColumn("hi", F.col("lo") + 15), "v", "lo", "hi", 16)
+    return pairs.groupBy("event_id").agg(F.count("*").alias("n_parts"), F.sum("p_partkey").alias("keys"))
+
+
+@query("SELECT n_name, s_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 5000")
+def right_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = load(spark, sf_dir, "supplier").where("s_acctbal > 5000")
+    return rich.join(load(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "right").select("n_name", "s_name")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1.5 * (SELECT avg(o_totalprice) FROM orders)")
+def scalar_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders")
+    mean = orders.agg(F.avg("o_totalprice"))
+    return orders.where(F.col("o_totalprice") > 1.5 * mean.scalar()).select("o_orderkey", "o_totalprice")
+
+
+@query("""
+SELECT s_suppkey, n_lines, quantity FROM supplier, LATERAL (SELECT CAST(count(*) AS BIGINT) AS n_lines, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_suppkey = s_suppkey) x""")
+def lateral_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = load(spark, sf_dir, "lineitem").where(F.col("l_suppkey") == F.col("s_suppkey").outer())
+    totals = lines.select(F.count("*").alias("n_lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    return load(spark, sf_dir, "supplier").lateralJoin(totals).select("s_suppkey", "n_lines", "quantity")
 
 
 @query("""
@@ -176,6 +200,17 @@ def window_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", F.row_number().over(w).alias("n"), F.lag("event_type").over(w).alias("before"), F.round(F.sum("value").over(w.rowsBetween(-2, 0)), 4).alias("last3"))
 
 
+@query("""
+SELECT event_id, lead(event_type) OVER w AS after, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND CURRENT ROW) AS BIGINT) AS n_recent
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def lead_and_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range frame goes by whole numbers: microseconds."""
+    by = Window.partitionBy("user_id")
+    events = load(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    recent = by.orderBy("at").rangeBetween(-12 * 3600 * 1_000_000, 0)
+    return events.select("event_id", F.lead("event_type").over(by.orderBy("ts", "event_id")).alias("after"), F.count("*").over(recent).alias("n_recent"))
+
+
 @query("""
 SELECT o_orderkey, o_custkey, CAST(rank AS INTEGER) AS rank FROM (
 SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3""")
@@ -204,6 +239,22 @@ def except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).exceptAll(load(spark, sf_dir, "supplier").select("s_nationkey"))
 
 
+@query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal < 0 INTERSECT SELECT s_nationkey FROM supplier")
+def intersect_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("k")).intersect(load(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 200000")
+def except_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(load(spark, sf_dir, "orders").where("o_totalprice > 200000").select("o_custkey"))
+
+
+@query("SELECT o_custkey AS k, 'order' AS kind FROM orders UNION ALL SELECT user_id, 'event' FROM events")
+def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.lit("order").alias("kind"))
+    return orders.unionAll(load(spark, sf_dir, "events").select("user_id", F.lit("event")))
+
+
 @query("SELECT o_custkey AS k FROM orders UNION SELECT user_id FROM events")
 def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).union(load(spark, sf_dir, "events").select("user_id")).distinct()
@@ -260,6 +311,45 @@ def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
+@query("""
+SELECT start AS window_start, CAST(count(*) AS BIGINT) AS n FROM (
+SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 2 HOUR]) AS start FROM events) GROUP BY start""")
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = load(spark, sf_dir, "events").groupBy(F.window("ts", "3 hours", "1 hour").alias("w")).agg(F.count("*").alias("n"))
+    return made.select(F.col("w.start").alias("window_start"), "n")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) % 7 AS rest FROM events")
+def parsed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = load(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint").alias("p"))
+    return parsed.select("event_id", "p.k", (F.col("p.k") % 7).alias("rest"))
+
+
+@query("""
+SELECT event_type, TRUE AS count_is_close, TRUE AS median_is_close, CAST(count(DISTINCT user_id) AS BIGINT) AS n_users FROM events GROUP BY event_type""")
+def approximate_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches instead of exact sets and sorts, held against the exact values."""
+    made = load(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.approx_count_distinct("user_id", 0.02).alias("about"), F.countDistinct("user_id").alias("n_users"), F.percentile_approx("value", 0.5, 1000).alias("mid"), F.percentile("value", F.array(F.lit(0.49), F.lit(0.51))).alias("near")
+    )
+    median_is_close = (F.col("mid") >= F.col("near")[0]) & (F.col("mid") <= F.col("near")[1])
+    return made.select("event_type", (F.abs(F.col("about") - F.col("n_users")) <= 0.1 * F.col("n_users") + 2).alias("count_is_close"), median_is_close.alias("median_is_close"), "n_users")
+
+
+@query("SELECT p_partkey, upper(substr(p_brand, 1, 1)) || CAST(length(p_name) AS VARCHAR) AS code FROM part")
+def vectorised_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For what built-in functions can't express: a function over Arrow arrays, batch by batch."""
+    return load(spark, sf_dir, "part").select("p_partkey", brand_code("p_brand", "p_name").alias("code"))
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) // 1000 AS block, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id, text")
+def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lateral join with a table function: rows of one row."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = docs.lateralJoin(spark.tvf.explode(F.split(F.col("text").outer(), "\n")))
+    return lines.groupBy("doc_id", F.floor(F.length("text") / 1000).alias("block")).agg(F.count("*").alias("n"))
+
+
 @query("""
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, CAST(count(*) AS BIGINT) AS n FROM (
 SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
