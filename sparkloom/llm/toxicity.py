@@ -3,8 +3,8 @@
 Labels are learned only from rows whose crc32(key as text) mod 3 is not 1, and from MAX_LABELLED of those at most (those
 with the smallest hashes of their keys, so the bound is no prefix of the table). The lexicon of words and word
 beginnings that mark toxic texts is counted on three folds of those rows; its densities, the nearness of second-person
-words, capitals, punctuation and obfuscation make the features of the trees, which learn from the same folds. The fourth
-fold, kept from lexicon and trees, calibrates their score.
+words, capitals, punctuation and obfuscation make the features of the trees, which learn from the same folds, each with
+the lexicon of the other two, so that they see it as new texts do. The fourth fold, kept from lexicon and trees, calibrates their score.
 Scoring has no shuffle. The key, labels, language and source are never inputs of a score.
 
 Defined cases: null and empty texts have zero features and get a score as others do; where the labels at hand have one
@@ -14,6 +14,7 @@ columns, such as score or held_out, are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -173,7 +174,11 @@ def with_features(rows: DataFrame, lexicon: Lexicon, text: str) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, seed: int = 7) -> Model:
     rows = stored(labelled_rows(docs, labels, key, text, max_labelled), "labelled")
     lexicon = learn_lexicon(rows.where(F.col("_fold") != CALIBRATION))
-    points = stored(with_features(rows, lexicon, "_text"), "points").withColumn("features", array_to_vector("_features"))
+    parts = [with_features(rows.where(F.col("_fold") == CALIBRATION), lexicon, "_text")]
+    for fold_ in (f for f in range(4) if f != CALIBRATION):
+        others = learn_lexicon(rows.where(~F.col("_fold").isin(fold_, CALIBRATION)))
+        parts.append(with_features(rows.where(F.col("_fold") == fold_), others, "_text"))
+    points = stored(functools.reduce(DataFrame.unionByName, parts), "points").withColumn("features", array_to_vector("_features"))
     shares = points.agg(F.avg("_toxic").alias("share"), F.max(F.when(F.col("_fold") == CALIBRATION, F.col("_toxic"))).alias("top"), F.min(F.when(F.col("_fold") == CALIBRATION, F.col("_toxic"))).alias("low"), F.max(F.when(F.col("_fold") != CALIBRATION, F.col("_toxic"))).alias("top_trees"), F.min(F.when(F.col("_fold") != CALIBRATION, F.col("_toxic"))).alias("low_trees")).first()
     if shares["share"] in (None, 0.0, 1.0) or shares["top_trees"] == shares["low_trees"]:
         return Model(lexicon, None, None, shares["share"] or 0.0)
