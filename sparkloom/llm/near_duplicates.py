@@ -7,8 +7,8 @@ candidates. A link holds if the edit distance of their word sequences, found wit
 of the longer one's length.
 
 Nodes are the distinct texts with words, numbered once they are stored; sketches, links and components are theirs, ids
-come back at the end. In a bucket of texts with one sketch, each is first compared to one leader, which settles most
-buckets with few comparisons and decides nothing by itself. Then all pairs of a bucket whose ends are still in different
+come back at the end. The leader of a bucket is its least node; each text is first compared to the leader that it shares most
+buckets with, which settles most buckets with one comparison a text and decides nothing by itself. Then all pairs of a bucket whose ends are still in different
 components are compared: by block against block of at most about BLOCK texts a side, where pairs are passed over only if
 their lengths or their bags of words rule a link out, and those that are left are aligned. So no pair that shares a
 sketch is left out, and classes are the components of all links between such texts. Buckets only exist as rows, joined by
@@ -184,7 +184,8 @@ def distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
         return False
     if _few_edits(a, b, min(limit, FEW)):
         return True
-    return limit > FEW and _within_band(a.tolist(), b.tolist(), limit)
+    longer, shorter = (a, b) if len(a) > len(b) else (b, a)
+    return limit > FEW and _within_band(longer.tolist(), shorter.tolist(), limit)
 
 
 def _few_edits(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
@@ -218,7 +219,8 @@ def _few_edits(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
 def _within_band(a: list[int], b: list[int], limit: int) -> bool:
     """Bit i of a column's numbers is row column - limit + i of the table, rows being words of a and columns of b.
 
-    The distance is followed down the lowest diagonal of the band to the last row, then along that row.
+    The distance is followed down the lowest diagonal of the band to the last row, then along that row. a is the longer
+    one, and longer than limit.
     """
     rows, columns, width = len(a), len(b), 2 * limit + 1
     where: dict[int, list[int]] = {}
@@ -474,7 +476,9 @@ def _known(rows: DataFrame, similarity: float, sketches_: int, minima: int, k: i
         members = store.table(buckets.join(shared, "bucket").select("bucket", "node", "leader"), "members")
         about = reps.select("node", "_digest", "_id", "n_copies")
         sequences = store.table(_sequences(rows, about.join(members.select("node").distinct(), "node", "left_semi").select("node", "_digest", "_id")), "sequences")
-        led = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+        together = members.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
+        best = together.groupBy("node").agg(F.max(F.struct(F.col("n"), (-F.col("leader")).alias("first"), F.col("leader"))).alias("best"))
+        led = best.select(F.col("best.leader").alias("a"), F.col("node").alias("b"))
         links = store.table(_verified(led, sequences, similarity), "links")
         labels = linked_components(links, store)
         more = store.table(_links_across(members, labels, sequences, similarity, store), "links")

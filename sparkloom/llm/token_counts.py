@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkloom.llm import _text as tx
-from sparkloom.llm._shared import fresh_path, stored
+from sparkloom.llm._shared import Scratch, fresh_path, stored
 from sparkloom.llm.tokenizing import tokenizer, version_digest
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens bigint"
@@ -59,7 +59,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
     rows = stored(digested, "digests")
     store = read_cache(spark, cache, version)
     missing = rows.select("_digest").distinct().join(store.withColumnRenamed("digest", "_digest"), "_digest", "left_anti")
-    texts = _texts_of(docs, missing, rows.isEmpty() or store.isEmpty(), text, content)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tokenizer(tokenizer_path)
@@ -68,16 +67,18 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
                 counts = known.count(part.column("_text").cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([version] * len(counts), pa.string()), part.column("_digest"), pa.array(counts, pa.int64())], names=["version", "digest", "n_tokens"])
 
-    texts.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    with Scratch(spark) as tables:
+        texts = _texts_of(docs, missing, store.isEmpty(), text, content, tables)
+        texts.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return rows.join(counts, rows["_digest"] == counts["digest"]).select(F.col("_key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def _texts_of(docs: DataFrame, missing: DataFrame, all_missing: bool, text: str, content: Column) -> DataFrame:
+def _texts_of(docs: DataFrame, missing: DataFrame, all_missing: bool, text: str, content: Column, tables: Scratch) -> DataFrame:
     """One text for each missing digest. Copies of a text meet as one row from each task."""
     texts = docs.select(F.unhex(F.sha2(content, 256)).alias("_digest"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     if not all_missing:
-        missing = stored(missing, "missing")
+        missing = tables.table(missing, "missing")
         if missing.count() <= BROADCAST_ROWS:
             texts = texts.join(F.broadcast(missing), "_digest", "left_semi")
             return texts.groupBy("_digest").agg(F.first("_text").alias("_text"))

@@ -27,7 +27,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkloom.llm import _text as tx
-from sparkloom.llm._shared import stored
+from sparkloom.llm._shared import Scratch
 
 MAX_LABELLED = 12_000
 MIN_Z = 5.0
@@ -172,21 +172,22 @@ def with_features(rows: DataFrame, lexicon: Lexicon, text: str) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, seed: int = 7) -> Model:
-    rows = stored(labelled_rows(docs, labels, key, text, max_labelled), "labelled")
-    lexicon = learn_lexicon(rows.where(F.col("_fold") != CALIBRATION))
-    parts = [with_features(rows.where(F.col("_fold") == CALIBRATION), lexicon, "_text")]
-    for fold_ in (f for f in range(4) if f != CALIBRATION):
-        others = learn_lexicon(rows.where(~F.col("_fold").isin(fold_, CALIBRATION)))
-        parts.append(with_features(rows.where(F.col("_fold") == fold_), others, "_text"))
-    points = stored(functools.reduce(DataFrame.unionByName, parts), "points").withColumn("features", array_to_vector("_features"))
-    shares = points.agg(F.avg("_toxic").alias("share"), F.max(F.when(F.col("_fold") == CALIBRATION, F.col("_toxic"))).alias("top"), F.min(F.when(F.col("_fold") == CALIBRATION, F.col("_toxic"))).alias("low"), F.max(F.when(F.col("_fold") != CALIBRATION, F.col("_toxic"))).alias("top_trees"), F.min(F.when(F.col("_fold") != CALIBRATION, F.col("_toxic"))).alias("low_trees")).first()
-    if shares["share"] in (None, 0.0, 1.0) or shares["top_trees"] == shares["low_trees"]:
-        return Model(lexicon, None, None, shares["share"] or 0.0)
-    trees = GBTClassifier(labelCol="_toxic", featuresCol="features", maxIter=20, maxDepth=4, stepSize=0.2, maxBins=64, minInstancesPerNode=5, seed=seed).fit(points.where(F.col("_fold") != CALIBRATION).coalesce(4))
-    if shares["top"] is None or shares["top"] == shares["low"]:
-        return Model(lexicon, trees, None, 0.0)
-    judged = trees.transform(points.where(F.col("_fold") == CALIBRATION)).select("_toxic", _chance().alias("_chance"))
-    return Model(lexicon, trees, IsotonicRegression(labelCol="_toxic", featuresCol="_chance").fit(judged), 0.0)
+    with Scratch(docs.sparkSession) as store:
+        rows = store.table(labelled_rows(docs, labels, key, text, max_labelled), "labelled")
+        lexicon = learn_lexicon(rows.where(F.col("_fold") != CALIBRATION))
+        parts = [with_features(rows.where(F.col("_fold") == CALIBRATION), lexicon, "_text")]
+        for fold_ in (f for f in range(4) if f != CALIBRATION):
+            others = learn_lexicon(rows.where(~F.col("_fold").isin(fold_, CALIBRATION)))
+            parts.append(with_features(rows.where(F.col("_fold") == fold_), others, "_text"))
+        points = store.table(functools.reduce(DataFrame.unionByName, parts), "points").withColumn("features", array_to_vector("_features"))
+        shares = points.agg(F.avg("_toxic").alias("share"), F.max(F.when(F.col("_fold") == CALIBRATION, F.col("_toxic"))).alias("top"), F.min(F.when(F.col("_fold") == CALIBRATION, F.col("_toxic"))).alias("low"), F.max(F.when(F.col("_fold") != CALIBRATION, F.col("_toxic"))).alias("top_trees"), F.min(F.when(F.col("_fold") != CALIBRATION, F.col("_toxic"))).alias("low_trees")).first()
+        if shares["share"] in (None, 0.0, 1.0) or shares["top_trees"] == shares["low_trees"]:
+            return Model(lexicon, None, None, shares["share"] or 0.0)
+        trees = GBTClassifier(labelCol="_toxic", featuresCol="features", maxIter=20, maxDepth=4, stepSize=0.2, maxBins=64, minInstancesPerNode=5, seed=seed).fit(points.where(F.col("_fold") != CALIBRATION).coalesce(4))
+        if shares["top"] is None or shares["top"] == shares["low"]:
+            return Model(lexicon, trees, None, 0.0)
+        judged = trees.transform(points.where(F.col("_fold") == CALIBRATION)).select("_toxic", _chance().alias("_chance"))
+        return Model(lexicon, trees, IsotonicRegression(labelCol="_toxic", featuresCol="_chance").fit(judged), 0.0)
 
 
 def _chance() -> Column:

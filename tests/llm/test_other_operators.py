@@ -38,10 +38,11 @@ def test_banded_alignment():
         assert near_duplicates.distance_within(np.array(a, np.uint32), np.array(b, np.uint32), limit) == (distance(a, b) <= limit)
     for _ in range(400):
         a = [draw.randint(0, 9) for _ in range(draw.randint(20, 60))]
-        b = [x if draw.random() < 0.8 else draw.randint(0, 9) for x in a if draw.random() < 0.9] + [draw.randint(0, 9)] * draw.randint(0, 4)
-        limit = draw.randint(max(1, abs(len(a) - len(b))), min(len(a), len(b)) - 1)
-        assert near_duplicates.distance_within(np.array(a, np.uint32), np.array(b, np.uint32), limit) == (distance(a, b) <= limit)
-        assert near_duplicates._within_band(a, b, limit) == (distance(a, b) <= limit)
+        b = [x if draw.random() < 0.8 else draw.randint(0, 9) for x in a if draw.random() < 0.9][draw.randint(0, 15) :] + [draw.randint(0, 9)] * draw.randint(0, 4)
+        limit = draw.randint(max(1, abs(len(a) - len(b))), max(len(a), len(b)) - 1)
+        one, other = np.array(a, np.uint32), np.array(b, np.uint32)
+        assert near_duplicates.distance_within(one, other, limit) == near_duplicates.distance_within(other, one, limit) == (distance(a, b) <= limit)
+        assert near_duplicates._within_band(max(a, b, key=len), min(b, a, key=len), limit) == (distance(a, b) <= limit)
 
 
 def brute_labels(rows, similarity=0.8):
