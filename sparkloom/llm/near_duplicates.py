@@ -6,12 +6,12 @@ in which they stand in the text, so it is sensitive to order as edit distance is
 candidates. A link holds if the edit distance of their word sequences, found within a band, is at most (1 - similarity)
 of the longer one's length.
 
-Nodes are the distinct texts with words, numbered once they are stored; sketches, links and components are theirs, ids
-come back at the end. The leader of a bucket is its least node; each text is first compared to the leader that it shares most
+Nodes are the distinct texts with words, numbered as they are stored; sketches, links and components are theirs, ids come
+back at the end. The leader of a bucket is its least node; each text is first compared to the leader that it shares most
 buckets with, which settles most buckets with one comparison a text and decides nothing by itself. Then all pairs of a bucket whose ends are still in different
 components are compared: by block against block of at most about BLOCK texts a side, where pairs are passed over only if
-their lengths or their bags of words rule a link out, and those that are left are aligned. So no pair that shares a
-sketch is left out, and classes are the components of all links between such texts. Buckets only exist as rows, joined by
+their lengths or their bags of words rule a link out, and those that are left are aligned unless links have joined them in the
+meantime. So no pair that shares a sketch is left out, and classes are the components of all links between such texts. Buckets only exist as rows, joined by
 their keys, so a bucket of any size is spread. n_links counts the links that were looked at to find the classes: pairs
 already in one component are not compared.
 
@@ -332,7 +332,7 @@ def _verified(pairs: DataFrame, sequences: DataFrame, similarity: float) -> Data
 
 
 def _bags(sequences: DataFrame) -> DataFrame:
-    """node, n, others and bag: how often words fall into each of BINS bins; null where a bin has more than fit in a byte."""
+    """node, label, places, n and bag: how often words fall into each of BINS bins; null where a bin has more than a byte holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -341,13 +341,13 @@ def _bags(sequences: DataFrame) -> DataFrame:
             for packed in batch.column("words").to_pylist():
                 counts = np.bincount(np.frombuffer(unpack.decompress(packed), "<u4") % BINS, minlength=BINS)
                 bags.append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else None)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(bags, pa.binary()), batch.column("others")], names=["node", "n", "bag", "others"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(bags, pa.binary())], names=[*kept, "bag"])
 
-    return sequences.select("node", "n", "words", "others").mapInArrow(run, "node bigint, n bigint, bag binary, others array<bigint>")
+    kept = ["node", "label", "places", "n"]
+    return sequences.select(*kept, "words").mapInArrow(run, f"node bigint, label bigint, places {sequences.schema['places'].dataType.simpleString()}, n bigint, bag binary")
 
 
 _BLOCK_KEY = ["bucket", "i", "j"]
-_BLOCK_ROW = [*_BLOCK_KEY, "first", "main", "node", "label", "n", "bag", "others"]
 
 
 def _blocks(members: DataFrame, labels: DataFrame, sequences: DataFrame, store: Scratch) -> DataFrame:
@@ -359,14 +359,24 @@ def _blocks(members: DataFrame, labels: DataFrame, sequences: DataFrame, store:
     parts = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     parts = parts.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
     counts = parts.select("bucket", F.col("largest.label").alias("largest"), F.ceil(F.col("all") / BLOCK).alias("js"), F.ceil((F.col("all") - F.col("largest.n")) / BLOCK).alias("is"))
-    open_ = store.table(known.join(counts, "bucket"), "open")
-    own = open_.groupBy("node").agg(F.collect_list("bucket").alias("others"))  # a text has as many buckets as sketches
+    open_ = known.join(counts, "bucket").select("node", "label", F.struct("bucket", (F.col("label") == F.col("largest")).alias("main"), "js", "is").alias("place"))
+    own = open_.groupBy("node", "label").agg(F.collect_list("place").alias("places"))  # as many as a text has sketches
     bags = store.table(_bags(sequences.join(own, "node")), "bags")
-    rows = open_.join(bags, "node").withColumn("main", F.col("label") == F.col("largest"))
     salt = F.xxhash64("node")
-    firsts = rows.where("not main").select("*", F.pmod(salt, F.col("is")).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("js") - 1)).alias("j"), F.lit(True).alias("first"))
-    others = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("is") - 1)).alias("i"), F.pmod(salt, F.col("js")).alias("j"), F.lit(False).alias("first"))
-    return firsts.select(_BLOCK_ROW).unionByName(others.select(_BLOCK_ROW))
+
+    def cells(place: Column) -> Column:
+        def cell(i: Column, j: Column, first: bool) -> Column:
+            return F.struct(place["bucket"].alias("bucket"), place["main"].alias("main"), i.alias("i"), j.alias("j"), F.lit(first).alias("first"))
+
+        def upto(n: Column) -> Column:
+            return F.sequence(F.lit(0).cast("bigint"), n - 1)
+
+        others = F.transform(upto(place["is"]), lambda i: cell(i, F.pmod(salt, place["js"]), False))
+        firsts = F.transform(upto(place["js"]), lambda j: cell(F.pmod(salt, place["is"]), j, True))
+        return F.when(place["main"], others).otherwise(F.concat(others, firsts))
+
+    rows = bags.withColumn("cell", F.explode(F.flatten(F.transform("places", cells))))
+    return rows.select("cell.*", "node", "label", "n", "bag", F.col("places.bucket").alias("others"))
 
 
 def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,22 +454,37 @@ def _links_across(members: DataFrame, labels: DataFrame, sequences: DataFrame, s
                 partners.setdefault(b, [])
             if partners:
                 key = [pa.array([block.column(c)[0].as_py()] * len(partners), pa.int64()) for c in _BLOCK_KEY]
-                yield pa.RecordBatch.from_arrays([*key, pa.array(list(partners), pa.int64()), pa.array(list(partners.values()), pa.list_(pa.int64()))], names=[*_BLOCK_KEY, "node", "partners"])
+                label = dict(zip(block.column("node").to_pylist(), block.column("label").to_pylist(), strict=True))
+                own = [pa.array(list(partners), pa.int64()), pa.array([label[x] for x in partners], pa.int64()), pa.array(list(partners.values()), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*key, *own], names=[*_BLOCK_KEY, "node", "label", "partners"])
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links that join components of the block; what earlier links of the block have joined isn't aligned again."""
         unpack = zstandard.ZstdDecompressor()
         for block in _by_block(batches):
-            packed = dict(zip(block.column("node").to_pylist(), block.column("words").to_pylist(), strict=True))
+            nodes = block.column("node").to_pylist()
+            packed = dict(zip(nodes, block.column("words").to_pylist(), strict=True))
+            label = dict(zip(nodes, block.column("label").to_pylist(), strict=True))
+            above = {x: x for x in label.values()}
+
+            def top(x: int, above=above) -> int:
+                while above[x] != x:
+                    above[x] = x = above[above[x]]
+                return x
+
             good = []
-            for a, partners in zip(block.column("node").to_pylist(), block.column("partners").to_pylist(), strict=True):
-                if partners:
-                    words = np.frombuffer(unpack.decompress(packed[a]), "<u4")
-                    good += [(a, b) for b in partners if similar(words, np.frombuffer(unpack.decompress(packed[b]), "<u4"), similarity)]
+            for a, partners in zip(nodes, block.column("partners").to_pylist(), strict=True):
+                words = np.frombuffer(unpack.decompress(packed[a]), "<u4") if partners else None
+                for b in partners or ():
+                    one, other = top(label[a]), top(label[b])
+                    if one != other and similar(words, np.frombuffer(unpack.decompress(packed[b]), "<u4"), similarity):
+                        above[one] = other
+                        good.append((a, b))
             if good:
                 yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*good, strict=True)], names=["a", "b"])
 
     together = _blocks(members, labels, sequences, store).repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
-    work = store.table(together.mapInArrow(possible, "bucket bigint, i bigint, j bigint, node bigint, partners array<bigint>"), "work")
+    work = store.table(together.mapInArrow(possible, "bucket bigint, i bigint, j bigint, node bigint, label bigint, partners array<bigint>"), "work")
     work = work.join(sequences.select("node", "words"), "node").repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
     return work.mapInArrow(aligned, "a bigint, b bigint")
 
@@ -469,14 +494,20 @@ def _known(rows: DataFrame, similarity: float, sketches_: int, minima: int, k: i
 
     The table stays in the shared folder, as what is returned is read from it."""
     with Scratch(rows.sparkSession) as store:
-        texts = _sketched(rows, sketches_, minima, k, more).groupBy("_digest").agg(F.min("_id").alias("_id"), F.sum("_count").alias("n_copies"), F.first("_sketches").alias("_sketches"))
-        reps = store.table(texts.withColumn("node", F.monotonically_increasing_id()), "representatives")
-        buckets = reps.select("node", F.explode("_sketches").alias("bucket"))
-        shared = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("bucket", "leader")
-        members = store.table(buckets.join(shared, "bucket").select("bucket", "node", "leader"), "members")
-        about = reps.select("node", "_digest", "_id", "n_copies")
+        sketched = store.table(_sketched(rows, sketches_, minima, k, more).withColumn("node", F.monotonically_increasing_id()), "sketches")
+        about = sketched.groupBy("_digest").agg(F.min("node").alias("node"), F.min("_id").alias("_id"), F.sum("_count").alias("n_copies"))
+        about = store.table(about, "texts")
+        copies = sketched.select("_digest", F.col("node").alias("_copy")).join(about.select("_digest", "node"), "_digest").where("_copy <> node").select("_copy")
+        copies = store.table(copies, "copies")
+        distinct = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
+        buckets = sketched.join(distinct, sketched["node"] == distinct["_copy"], "left_anti").select("node", F.explode("_sketches").alias("bucket"))
+        shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+        members = store.table(buckets.join(shared, "bucket", "left_semi"), "members")
+        store.drop(sketched, copies)
         sequences = store.table(_sequences(rows, about.join(members.select("node").distinct(), "node", "left_semi").select("node", "_digest", "_id")), "sequences")
-        together = members.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
+        leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"))
+        led = members.join(leaders, "bucket")
+        together = led.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
         best = together.groupBy("node").agg(F.max(F.struct(F.col("n"), (-F.col("leader")).alias("first"), F.col("leader"))).alias("best"))
         led = best.select(F.col("best.leader").alias("a"), F.col("node").alias("b"))
         links = store.table(_verified(led, sequences, similarity), "links")
