@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows and bytes of an Arrow batch. Spark's default of 10,000 rows is much memory where rows are whole texts.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

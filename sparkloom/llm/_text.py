@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 512 << 10
 
 # Separators of the word classes used by the operators, as bytes.
 WHITE = bytes([0x20, *range(0x09, 0x0E)])

@@ -1,7 +1,8 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words.
 
 encode() has two styles with the same results, and neither shuffles. With style="words" each worker process folds the
-distinct words of its rows itself, keeps what it has folded (a bounded number of pieces) and puts the texts together.
+distinct words of its rows itself, keeps what it has folded (a bounded number of pieces, for one task) and puts the texts
+together.
 With style="higher_order" the fold is one of Spark's higher-order functions:
 
 1. Texts are taken in bounded batches. A batch becomes one row: its texts as numbers of its distinct words (the matches
@@ -194,8 +195,8 @@ class _Splitter:
         return out
 
 
-#: Pieces that a worker process keeps the ids of; at about 200 bytes each.
-KEPT_PIECES = 250_000
+#: Pieces that a task keeps the ids of; at about 200 bytes each.
+KEPT_PIECES = 200_000
 
 
 def fold_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -286,11 +287,6 @@ class _WordFolder:
         return store[key]
 
 
-@functools.cache
-def _folder(ranks_path: str, pattern: str) -> _WordFolder:
-    return _WordFolder(ranks_path, pattern)
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", style: str = "words", batch_bytes: int = BATCH_BYTES, decoded: bool = False) -> DataFrame:
     """For every row of docs its columns without text, and ids binary (little-endian unsigned 32-bit integers).
 
@@ -304,7 +300,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", s
     names = carried.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder = _folder(ranks_path, pattern)
+        folder = _WordFolder(ranks_path, pattern)
         for batch in batches:
             for rows in tx.slices(batch, text):
                 ids = [folder.text(t or "") for t in rows.column(text).to_pylist()]
