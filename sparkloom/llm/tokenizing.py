@@ -27,7 +27,7 @@ WHITE_SPACE_DROPPED = {
     },
 }
 
-CACHED_WORDS = 1_300_000
+CACHED_WORDS = 500_000
 CACHED_LENGTH = 64
 #: A control character that is no word of any text, as words that have it count among the long ones.
 MARK = "\x01"
