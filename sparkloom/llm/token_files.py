@@ -138,7 +138,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id",
         f.write(dictionary)
 
     n_rows = rows.count()
-    pack = _compressor(dictionary)
+    pack = _compressor(b"")  # those of the sample would be too small with the dictionary that was trained on them
     per_row = sum(len(pack.compress(x)) * n / max(1, len(t)) for x, t, n in zip(sample, texts, lengths, strict=True)) / max(1, len(sample))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_shards = max(1, int(per_row * n_rows / shard_bytes), min(tasks, int(per_row * n_rows / file_bytes)))
