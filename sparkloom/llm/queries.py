@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.llm import byte_bpe, chat_format, decontaminate, html_text, near_duplicates, quality, repeated_text, token_counts, token_files, toxicity
+from sparkloom.llm import byte_bpe, chat_format, decontaminate, html_text, lexical_search, line_dedup, near_duplicates, periodic_runs, quality, repeated_text, token_counts, token_files, toxicity
 from sparkloom.llm._shared import fresh_path, small_batches, stored
 from sparkloom.llm._text import read
 
@@ -83,6 +83,31 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(stored(chat_format.format_conversations(turns), "chat"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_echoes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.find_runs(docs).withColumn("best", periodic_runs.longest(F.col("runs")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (read(spark, sf_dir, table) for table in ("documents", "benchmark"))
+    return lexical_search.rank_documents(docs, items)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = line_dedup.drop_shared_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         small_batches(spark)
@@ -92,4 +117,4 @@ def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _bounded(f) for f in (op1_byte_bpe, op2_toxicity, op3_quality_rules, op4_token_files, op5_html_text, op6_decontamination, op7_repeated_text, op8_near_duplicates, op9_token_counts, op10_chat_format)}
+    return {f.__name__: _bounded(f) for f in (op1_byte_bpe, op2_toxicity, op3_quality_rules, op4_token_files, op5_html_text, op6_decontamination, op7_repeated_text, op8_near_duplicates, op9_token_counts, op10_chat_format, op11_periodic_runs, op12_lexical_search, op13_line_dedup)}
