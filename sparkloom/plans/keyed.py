@@ -8,6 +8,7 @@ from sparkloom.functions.batches import capped_batches as packed, register
 from sparkloom.functions.names import name_similarity as similar
 from sparkloom.operators import merge_sketches, not_in, overlap_join, read_sketches, salted_join, sessions, slice_sketches
 from sparkloom.plans.registry import query
+from sparkloom.sources.arrow_shards import read_shards, write_shards
 from sparkloom.sources.shared import shared_path
 from sparkloom.sources.tables import load
 
@@ -99,3 +100,14 @@ def merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     slice_sketches(events, ["event_type", "day"], "value", "user_id").write.parquet(path)
     merged = merge_sketches(spark.read.parquet(path), ["event_type"])
     return read_sketches(merged, {"low": 0.05, "mid": 0.5, "high": 0.95})
+
+
+@query("""
+SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total
+FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1997-04-01' GROUP BY o_orderpriority""")
+def quarter_from_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as Arrow shards by date; the filter of a quarter opens the shards that it touches, and no others."""
+    path = shared_path(spark, "orders-shards")
+    write_shards(load(spark, sf_dir, "orders"), path, "o_orderdate", 32)
+    quarter = read_shards(spark, path).where("o_orderdate >= timestamp_ntz'1997-01-01' AND o_orderdate < timestamp_ntz'1997-04-01'")
+    return quarter.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
