@@ -1,9 +1,10 @@
 """Main text of web pages by block rules in two passes.
 
-Markup is cut into blocks. Pass 1 decides by link density, length and stop-word density: many links make a block bad,
-long prose makes it good, and what is short or unlike prose stays ambiguous. Where a block stands is a further feature of
-the rules: nothing in a menu, footer, advert, form or comment section becomes good, nor anything outside of the article
-if the page marks one, and links alone don't make a block of the article bad. Pass 2 gives each ambiguous block the label
+Markup is cut into blocks. Pass 1 decides by link density, length and stop-word density: many links make a block bad, long
+prose makes it good, and what is short or unlike prose stays ambiguous. In an article a block of links is bad in a row of
+LINK_ROW of them, and ambiguous alone. Where a block stands comes second: nothing in a menu, footer, advert,
+form or comment section becomes good, nor anything outside of the article if the page marks one; names that may as well tell
+what a text is about (WEAK_NAMES) only decide what the rules leave open. Pass 2 gives each ambiguous block the label
 of its nearest decided neighbour outside of such places, where each border of a container counts as BORDER blocks; a block of an article looks
 within that article. Pages are independent of each other: there is no shuffle. A page is read in one scan, in time
 proportional to its length.
@@ -33,6 +34,7 @@ LONG_WORDS = 25
 MAX_LINKS = 0.35
 MIN_STOP = 0.2
 BORDER = 3
+LINK_ROW = 3
 
 # Frequent function words of the languages served.
 STOP_WORDS = frozenset(
@@ -42,7 +44,7 @@ STOP_WORDS = frozenset(
     "el los las y del se por con una su para como más pero sus ya este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante".split()
 )
 
-_RAW = {name: re.compile(rf"</{name}(?![a-z0-9])[^>]*>?", re.I) for name in "script style noscript template textarea select svg iframe object math button".split()}
+_RAW = {name: re.compile(rf"</{name}(?![a-z0-9])[^>]*>?", re.I) for name in "script style noscript template textarea select svg button".split()}
 #: These go to the end of the page where they aren't closed; the tags of the others are passed over then.
 _RAW_TO_THE_END = frozenset("script style textarea".split())
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)")
@@ -52,39 +54,54 @@ _CONTAINER = frozenset("html head body div section article main header footer na
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr pre hr caption figcaption summary tbody thead tfoot legend".split())
 _SPACE = frozenset("br td th wbr img".split())
 _BAD_TAG = frozenset("head header footer nav aside form dialog menu title fieldset".split())
-_BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|cookies?|consent|gdpr|notices?|disclaimer|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget|comments?|disqus|respond|replies|footer|header|masthead|topbar|promo|promotion|sponsor(?:ed)?|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|toolbar|pagination|pager|copyright|skip|alert|complementary|contentinfo|search|tags?)(?:$|[\s_-])",
-    re.I,
+STRONG_NAMES = frozenset(
+    "ad ads advert adverts advertisement adsense banner cookie cookies consent gdpr notice notices disclaimer menu nav navbar navigation breadcrumb breadcrumbs sidebar widget comment comments disqus respond replies "
+    "footer masthead topbar promo promotion sponsor sponsored related recommended newsletter subscribe pagination contentinfo complementary".split()
 )
+WEAK_NAMES = frozenset("side search social share sharing tag tags alert skip header login signup popup modal overlay toolbar pager copyright".split())
+#: Parts of names that say nothing of their own.
+_PLAIN_NAMES = frozenset("list box bar block wrapper wrap container section area panel item items link links text content top bottom left right inner outer site page global primary secondary small large form button buttons".split())
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 @dataclass
 class Block:
-    """place: blocks and borders before it. article: the number of the article that it is in, or -1."""
+    """place: blocks and borders before it. article: the number of the article that it is in, or -1. weak_place: only a weak name says so."""
 
     text: str
     words: int
     link_share: float
     stop_share: float
     bad_place: bool
+    weak_place: bool
     article: int
     place: int
     label: str = ""
     why: str = ""
 
 
-def _attributes(raw: str) -> tuple[bool, bool]:
-    """Whether the attributes name boilerplate or hide the element, and whether they name the main part."""
-    bad = main = False
+def _named(value: str) -> int:
+    """2 if one of the names in a class, id or role is a strong one, 1 if one is weak; compounds count if all their parts are such or plain."""
+    found = 0
+    for name in value.lower().split():
+        parts = [x for x in re.split(r"[-_]+", name) if x]
+        if all(x in STRONG_NAMES or x in WEAK_NAMES or x in _PLAIN_NAMES for x in parts):
+            found = max(found, 2 if any(x in STRONG_NAMES for x in parts) else int(any(x in WEAK_NAMES for x in parts)))
+    return found
+
+
+def _attributes(raw: str) -> tuple[int, bool]:
+    """How strongly (0, 1, 2) the attributes name boilerplate or hide the element, and whether they name the main part."""
+    bad, main = 0, False
     for name, value in _ATTRIBUTE.findall(raw):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
-            bad |= bool(_BAD_NAME.search(value))
+            bad = max(bad, _named(value))
             main |= value.lower() in ("main", "article")
-        bad |= name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and bool(_HIDDEN.search(value)))
-    return bad and not main, main
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and bool(_HIDDEN.search(value))):
+            bad = 2
+    return 0 if main else bad, main
 
 
 def tokens(page: str) -> Iterator[tuple[str, bool, str]]:
@@ -145,12 +162,12 @@ def tokens(page: str) -> Iterator[tuple[str, bool, str]]:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = [("", False, -1)]  # tag, whether it or one around it is bad, article
+    stack: list[tuple[str, int, int]] = [("", 0, -1)]  # tag, how bad it or one around it is, article
     open_tags: Counter[str] = Counter()
     parts: list[str] = []
     links: list[str] = []
-    in_link = leaf_bad = False
-    borders = articles = 0
+    in_link = False
+    leaf_bad = borders = articles = 0
 
     def close() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -158,7 +175,8 @@ def blocks(page: str) -> list[Block]:
             words = text.lower().split()
             linked = len(" ".join(html.unescape("".join(links)).split()))
             stop = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words)
-            found.append(Block(text, len(words), linked / len(text), stop / len(words), leaf_bad or stack[-1][1], stack[-1][2], len(found) + BORDER * borders))
+            bad = max(leaf_bad, stack[-1][1])
+            found.append(Block(text, len(words), linked / len(text), stop / len(words), bad == 2, bad == 1, stack[-1][2], len(found) + BORDER * borders))
         parts.clear()
         links.clear()
 
@@ -173,14 +191,14 @@ def blocks(page: str) -> list[Block]:
             parts.append(" ")
         elif tag in _CONTAINER:
             close()
-            in_link = leaf_bad = False
+            in_link, leaf_bad = False, 0
             if not ending:
                 borders += 1
-                bad, main = _attributes(rest) if rest.strip(" /") else (False, False)
+                bad, main = _attributes(rest) if rest.strip(" /") else (0, False)
                 article = stack[-1][2]
                 if main or tag in ("article", "main"):
                     article, articles = articles, articles + 1
-                stack.append((tag, stack[-1][1] or bad or tag in _BAD_TAG, article))
+                stack.append((tag, max(stack[-1][1], bad, 2 * (tag in _BAD_TAG)), article))
                 open_tags[tag] += 1
             elif open_tags[tag]:
                 borders += 1
@@ -190,21 +208,30 @@ def blocks(page: str) -> list[Block]:
                     open_tags[gone] -= 1
         elif tag in _LEAF:
             close()
-            leaf_bad = not ending and bool(rest.strip(" /")) and _attributes(rest)[0]
+            leaf_bad = _attributes(rest)[0] if not ending and rest.strip(" /") else 0
     close()
     return found
 
 
 def classify(found: list[Block]) -> list[Block]:
-    """Labels good or bad for every block, and why: links, prose, length, place or neighbour."""
+    """Labels good or bad for every block, and why: links, prose, place or neighbour."""
     has_article = any(b.article >= 0 and not b.bad_place for b in found)
-    for b in found:
-        if b.link_share > MAX_LINKS and (b.article < 0 or b.bad_place):
+    row, rows = [], set()
+    for i, b in enumerate([*found, None]):
+        if b is not None and b.link_share > MAX_LINKS and (not row or found[row[-1]].article == b.article):
+            row.append(i)
+            continue
+        rows |= set(row) if len(row) >= LINK_ROW else set()
+        row = [i] if b is not None and b.link_share > MAX_LINKS else []
+    for i, b in enumerate(found):
+        if b.link_share > MAX_LINKS and (b.article < 0 or b.bad_place or i in rows):
             b.label, b.why = "bad", "links"
         elif b.bad_place or (has_article and b.article < 0):
             b.label, b.why = "bad", "place"
-        elif b.words >= LONG_WORDS and b.link_share <= MAX_LINKS:
-            b.label, b.why = "good", "prose" if b.stop_share >= MIN_STOP else "length"
+        elif b.words >= LONG_WORDS and b.link_share <= MAX_LINKS and b.stop_share >= MIN_STOP:
+            b.label, b.why = "good", "prose"
+        elif b.weak_place:
+            b.label, b.why = "bad", "place"
     nearest: dict[int, tuple[int, str]] = {}
     for order in (found, reversed(found)):
         last: dict[int, Block] = {}
@@ -213,7 +240,7 @@ def classify(found: list[Block]) -> list[Block]:
             if not b.label:
                 if own in last and (i not in nearest or abs(b.place - last[own].place) < nearest[i][0]):
                     nearest[i] = (abs(b.place - last[own].place), last[own].label)
-            elif not b.bad_place:
+            elif not b.bad_place and not (b.weak_place and b.why == "place"):
                 last[own] = b
     for i, b in enumerate(found):
         if not b.label:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import lexical_search, line_dedup, periodic_runs
+from sparkloom.llm import html_text, lexical_search, line_dedup, periodic_runs
 from sparkloom.llm._shared import Scratch
 
 from .fixtures import frame, prose, texts
@@ -262,3 +262,47 @@ def test_a_hash_is_cut_into_slices(spark):
 
 def test_lines_of_nothing(spark):
     assert line_dedup.drop_shared_lines(frame(spark).limit(0)).count() == 0
+
+
+# Main text: what the rules decide
+
+PROSE = " ".join("the river and the stone of the garden in a letter to the queen".split() * 5)
+UNLIKE = " ".join(f"item{i} no{i}" for i in range(20))
+LINKS = "".join(f"<li><a href='/{i}'>item {i} name</a></li>" for i in range(30))
+
+
+@pytest.mark.parametrize("name", ["side-effects", "social history", "search-method", "alert", "tag", "plain", "header", "share"])
+def test_prose_of_an_article_stays_whatever_it_is_about(name):
+    for page in (f"<article><p>{PROSE}</p><p class='{name}'>{PROSE}</p></article>", f"<article><p>{PROSE}</p><div class='{name}'><p>{PROSE}</p></div></article>"):
+        assert html_text.main_text(page) == f"{PROSE}\n\n{PROSE}"
+
+
+@pytest.mark.parametrize("name", ["ad", "comment-list", "cookie-notice", "ad-box sticky", "related", "footer_links", "newsletter"])
+def test_places_with_strong_names_go(name):
+    for page in (f"<article><p>{PROSE}</p><p class='{name}'>{PROSE}</p></article>", f"<article><p>{PROSE}</p><div id='{name}'><p>{PROSE}</p></div></article>"):
+        assert html_text.main_text(page) == PROSE
+
+
+def test_weak_names_decide_what_is_left_open():
+    assert html_text.main_text(f"<article><p>{PROSE}</p><div class='share'><p>Tell others</p></div><p class=x>Short</p></article>") == f"{PROSE}\n\nShort"
+
+
+def test_links_in_an_article():
+    """A menu inside goes; a paragraph that is a link follows its neighbours."""
+    assert html_text.main_text(f"<article><p>{PROSE}</p><ul>{LINKS}</ul><p>{PROSE}</p></article>") == f"{PROSE}\n\n{PROSE}"
+    assert html_text.main_text(f"<article><p>{PROSE}</p><p><a href=x>A linked line</a></p><p>{PROSE}</p></article>") == f"{PROSE}\n\nA linked line\n\n{PROSE}"
+    assert html_text.main_text("<article><p>a <math>x+y</math> b <object>d</object></p></article>") == "a x+y b d"
+
+
+@pytest.mark.parametrize(("setting", "value"), [("MIN_STOP", 0.0), ("LONG_WORDS", 10**9), ("MAX_LINKS", 1.0), ("LINK_ROW", 10**9), ("BORDER", 0)])
+def test_each_rule_decides_labels(monkeypatch, setting, value):
+    """With a rule switched off some label of these pages is another one."""
+    pages = [
+        f"<article><p>{PROSE}</p><ul>{LINKS}</ul><p>{PROSE}</p></article>",
+        f"<div><ul>{LINKS}</ul></div><div><p>{UNLIKE}</p></div><div><ul>{LINKS}</ul></div><div><p>Short</p></div><div><p>{PROSE}</p><p>Another</p></div>",
+        f"<div><div><p>{PROSE}</p></div><p>one</p><p>two</p><p><a href=x>Home page</a></p></div>",
+    ]
+    labels = lambda: [b.label for page in pages for b in html_text.classify(html_text.blocks(page))]
+    before = labels()
+    monkeypatch.setattr(html_text, setting, value)
+    assert labels() != before
