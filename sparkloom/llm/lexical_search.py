@@ -33,8 +33,8 @@ from sparkloom.llm import _text as tx
 from sparkloom.llm._shared import Scratch
 
 TOP = 20
-#: Parts that a term's rows are dealt over, and buckets of the table.
-PARTS, BUCKETS = 32, 64
+#: Parts that a term's rows are dealt over.
+PARTS = 32
 #: Up to so many distinct item terms are broadcast.
 BROADCAST_TERMS = 200_000
 PIECE_BYTES = 1 << 20
@@ -81,11 +81,13 @@ def _terms(rows: DataFrame, key: str, text: str) -> DataFrame:
     return source.mapInArrow(run, f"_key {kind}, _row bigint, term string, tf bigint, n bigint")
 
 
-def build_postings(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", only: DataFrame | None = None, buckets: int = BUCKETS) -> str:
+def build_postings(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", only: DataFrame | None = None, buckets: int | None = None) -> str:
     """Writes the postings of docs to path, a folder that all machines share, as a table bucketed by term and part; its name.
 
-    only: a table with the distinct terms that matter; rows of other terms are not written.
+    only: a table with the distinct terms that matter; rows of other terms are not written. buckets: as many as the session has
+    shuffle partitions, if not given, so that each task writes one file.
     """
+    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     name = f"postings_{uuid.uuid4().hex}"
     postings = _terms(docs, key, text).withColumn("part", F.pmod("_row", F.lit(PARTS)).cast("int"))
     if only is not None:
@@ -117,7 +119,7 @@ def search(postings: DataFrame, wanted: DataFrame, store: Scratch, top: int = TO
     """postings as written by build_postings, wanted as made by item_terms: item, rank, _key, score."""
     totals = postings.where("term IS NULL").agg(F.count("*").alias("N"), F.coalesce(F.sum("tf"), F.lit(0)).alias("L")).first()
     n_docs, n_terms = F.lit(totals["N"]).cast("bigint"), F.lit(totals["L"]).cast("bigint")
-    matched = store.table(_at_terms(postings, wanted.select("term").distinct(), "inner").select("_key", "_row", "term", "tf", "n"), "matched")
+    matched = _at_terms(postings, wanted.select("term").distinct(), "inner")
 
     weight = F.floor(1000 * F.log((2 * n_docs + 2) / (2 * F.col("df") + 1)))
     weights = matched.groupBy("term").agg(F.count("*").alias("df")).select("term", weight.alias("w"))
