@@ -8,8 +8,8 @@ document, so a term that every document has is not one key. An index for known i
 ``search`` ranks the documents for each item. Item terms are joined to the postings, counted, and weighed; the matched rows
 are scored and taken to the documents (one shuffle, by document), where each meets the items that have its term and the
 scores of an item and a document are summed where they are. The best of an item are cut in every task before they meet
-(a window over row_number). Item terms are broadcast up to BROADCAST_TERMS; more are joined by term and part, as the table is
-bucketed. Spark joins the weighted terms by broadcast only where their table is under spark.sql.autoBroadcastJoinThreshold.
+(a window over row_number). Item terms, and their weights, are broadcast up to BROADCAST_TERMS rows; more are joined by term and
+part, as the table is bucketed, and the weights by term.
 
 Defined cases: null texts and texts without terms are no documents and no item terms, and don't count in N; items
 without terms, or whose terms no document has, have no rows; equal scores rank by ascending key (null last), then by the
@@ -35,7 +35,7 @@ from sparkloom.llm._shared import Scratch
 TOP = 20
 #: Parts that a term's rows are dealt over.
 PARTS = 32
-#: Up to so many distinct item terms are broadcast.
+#: Up to so many rows of item terms are broadcast.
 BROADCAST_TERMS = 200_000
 PIECE_BYTES = 1 << 20
 
@@ -129,7 +129,7 @@ def search(postings: DataFrame, wanted: DataFrame, store: Scratch, top: int = TO
     share = _div(1_000_000_000 * F.col("tf"), 1000 * F.col("tf") + 12 * m)
     placed = matched.select("_key", "_row", "term", share.alias("share")).repartition("_key", "_row")
     once = placed.groupBy("_key", "_row", "term").agg(F.first("share").alias("share"))
-    scores = once.join(terms, "term").groupBy("item", "_key", "_row").agg(F.sum(F.col("w") * F.col("share")).alias("score"))
+    scores = once.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term").groupBy("item", "_key", "_row").agg(F.sum(F.col("w") * F.col("share")).alias("score"))
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("_key"), F.asc("_row"))
     ranked = scores.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("item", "rank", "_key", "score")
