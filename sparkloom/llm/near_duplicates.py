@@ -3,7 +3,9 @@
 Each text is a sequence of five-word k-mers; the n-th occurrence of a k-mer in a text is another element than its first.
 For each of SKETCHES hash functions (short texts have more) a sketch takes the MINIMA elements with the least hashes and hashes them in the order
 in which they stand in the text, so it is sensitive to order as edit distance is. Texts that share a sketch are
-candidates. A link holds if the edit distance of their word sequences, found within a band, is at most (1 - similarity)
+candidates. Texts of few words have too few k-mers for that: a text under BRIEF words is cut into one segment more than the edits that a link
+to it may have, so that one segment at least stands in the other text, moved by few words; the segments of the shorter and
+what stands there in the longer are sketches too, and find every link of such a text. A link holds if the edit distance of their word sequences, found within a band, is at most (1 - similarity)
 of the longer one's length.
 
 Nodes are the distinct texts with words, numbered as they are stored; sketches, links and components are theirs, ids come
@@ -12,8 +14,7 @@ buckets with, which settles most buckets with one comparison a text and decides
 components are compared: by block against block of at most about BLOCK texts a side, where pairs are passed over only if
 their lengths or their bags of words rule a link out, and those that are left are aligned unless links have joined them in the
 meantime. So no pair that shares a sketch is left out, and classes are the components of all links between such texts. Buckets only exist as rows, joined by
-their keys, so a bucket of any size is spread. n_links counts the links that were looked at to find the classes: pairs
-already in one component are not compared.
+their keys, so a bucket of any size is spread.
 
 Defined cases: null and empty texts, and texts without words, are classes of their own; texts under five words count as
 one k-mer; equal texts share a class, whatever their ids; the class id is the least id of the class that isn't null, or
@@ -41,6 +42,8 @@ SKETCHES = 96
 #: Texts under SHORT words have more sketches, as chance weighs more where there are few k-mers.
 SHORT, MORE_SKETCHES = 100, 64
 MINIMA = 2
+#: Texts under BRIEF words are found by segments.
+BRIEF = 30
 SIMILARITY = 0.8
 BLOCK = 512
 #: Up to so many rows of nodes are broadcast to pick their texts; more are joined by shuffle.
@@ -140,6 +143,38 @@ def all_sketches(labelled: np.ndarray, first: np.ndarray, n: int, minima: int, m
     return out, begin
 
 
+def edits(words: int, similarity: float) -> int:
+    """How many edits a link may have whose longer text has so many words."""
+    return int((1 - similarity) * words + 1e-9)
+
+
+def segments(words: np.ndarray, similarity: float) -> set[int]:
+    """Hashes of the segments by which a text under BRIEF words, of so many word hashes, is found, and of where those of shorter ones may stand in it.
+
+    A segment may have moved by no more words than the edits before it and after it leave, and where more edits than segments
+    lie on one side of it, some segment of the other side is whole.
+    """
+    m, found = len(words), set()
+
+    def cut(length: int) -> list[tuple[int, int]]:
+        most = max(edits(n, similarity) for n in range(length, int(length / similarity + 1e-9) + 1))
+        parts = min(length, most + 1)
+        return [(i * length // parts, (i + 1) * length // parts) for i in range(parts)]
+
+    def add(length: int, i: int, a: int, z: int) -> None:
+        h = int(np.dot(words[a:z], _PLACE[: z - a]))
+        found.add(int(tx.mix(np.array([h ^ (length << 56) ^ (i << 48)], np.uint64))[0]))
+
+    for length in range(max(1, m - edits(m, similarity)), min(m, BRIEF - 1) + 1):
+        most, longer, parts = edits(m, similarity), m - length, cut(length)
+        for i, (a, z) in enumerate(parts):
+            for moved in range(-min(i, most), min(i, most) + 1):
+                rest = abs(longer - moved)
+                if abs(moved) + rest <= most and rest < len(parts) - i and 0 <= a + moved and z + moved <= m:
+                    add(length, i, a + moved, z + moved)
+    return found
+
+
 def _least_places(hashed: np.ndarray, place: np.ndarray, begin: np.ndarray, minima: int) -> np.ndarray:
     """Places of the least hashes of each run begin[i]:begin[i + 1], none of which is empty."""
     size = np.diff(begin)
@@ -261,7 +296,17 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("bigint").alias("_id"), _digest(F.col(text)).alias("_digest"), F.col(text).alias("_text"))
 
 
-def _sketched(rows: DataFrame, n: int, minima: int, k: int, more: int) -> DataFrame:
+def _with_segments(made: np.ndarray, begin: np.ndarray, scan: tx.Words, words: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches and where each text's begin, with the segments of texts of few words."""
+    few = np.flatnonzero((scan.per_text > 0) & (scan.per_text <= int((BRIEF - 1) / similarity + 1e-9)))
+    own = [np.array(sorted(segments(words[scan.first[t] : scan.first[t + 1]], similarity)), np.uint64) for t in few]
+    count = np.zeros(len(begin), np.int64)
+    count[few + 1] = [len(x) for x in own]
+    values = np.concatenate([made[:0], *own])
+    return np.insert(made, np.repeat(begin[few + 1], count[few + 1]), values), begin + np.cumsum(count)
+
+
+def _sketched(rows: DataFrame, n: int, minima: int, k: int, more: int, similarity: float) -> DataFrame:
     """Digest, id, length and sketches of the rows that have words; of equal texts in a slice only the least id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +323,7 @@ def _sketched(rows: DataFrame, n: int, minima: int, k: int, more: int) -> DataFr
                 rows = part.take(pa.array([at for _, at in ids.values()], pa.int64()))
                 data, offsets = tx.text_bytes(rows.column("_text"))
                 scan, words = hashed_words(data, offsets)
-                made, begin = all_sketches(*elements(scan, words, k), n, minima, more)
+                made, begin = _with_segments(*all_sketches(*elements(scan, words, k), n, minima, more), scan, words, similarity)
                 lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(made.view(np.int64)))
                 columns = [rows.column("_digest"), pa.array([own for own, _ in ids.values()], pa.int64()), pa.array([count[d] for d in ids], pa.int64()), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["_digest", "_id", "_count", "_sketches"]).filter(pa.array(scan.per_text > 0))
@@ -490,11 +535,11 @@ def _links_across(members: DataFrame, labels: DataFrame, sequences: DataFrame, s
 
 
 def _known(rows: DataFrame, similarity: float, sketches_: int, minima: int, k: int, more: int) -> DataFrame:
-    """For every distinct text with words: digest, class_id, the digest of its class's text that stays, n_links and n_copies.
+    """For every distinct text with words: digest, class_id, the digest of its class's text that stays, and n_copies.
 
     The table stays in the shared folder, as what is returned is read from it."""
     with Scratch(rows.sparkSession) as store:
-        sketched = store.table(_sketched(rows, sketches_, minima, k, more).withColumn("node", F.monotonically_increasing_id()), "sketches")
+        sketched = store.table(_sketched(rows, sketches_, minima, k, more, similarity).withColumn("node", F.monotonically_increasing_id()), "sketches")
         about = sketched.groupBy("_digest").agg(F.min("node").alias("node"), F.min("_id").alias("_id"), F.sum("_count").alias("n_copies"))
         about = store.table(about, "texts")
         copies = sketched.select("_digest", F.col("node").alias("_copy")).join(about.select("_digest", "node"), "_digest").where("_copy <> node").select("_copy")
@@ -515,22 +560,21 @@ def _known(rows: DataFrame, similarity: float, sketches_: int, minima: int, k: i
         more = store.table(_links_across(members, labels, sequences, similarity, store), "links")
         store.drop(members, sequences)
         labels = joined_components(labels.select("id", "label"), more, store)
-        ends = links.unionByName(more).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-        linked = store.table(labels.select("id", "label").join(ends, "id").join(about.select(F.col("node").alias("id"), "_id", "_digest"), "id"), "linked")
+        linked = store.table(labels.select("id", "label").join(about.select(F.col("node").alias("id"), "_id", "_digest"), "id"), "linked")
         least = linked.groupBy("label").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_digest")).alias("least"))
-        of_node = linked.join(least, "label").select(F.col("id").alias("node"), F.col("least").alias("_class"), "n_links")
+        of_node = linked.join(least, "label").select(F.col("id").alias("node"), F.col("least").alias("_class"))
         own = F.struct(F.col("_id").isNull().alias("none"), "_id", "_digest")
-        known = about.join(of_node, "node", "left").select("_digest", "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("_class", own).alias("_class"))
-        return store.table(known.select("_digest", F.col("_class._id").alias("class_id"), F.col("_class._digest").alias("_chosen"), "n_links", "n_copies"), "near-duplicates", keep=True)
+        known = about.join(of_node, "node", "left").select("_digest", "n_copies", F.coalesce("_class", own).alias("_class"))
+        return store.table(known.select("_digest", F.col("_class._id").alias("class_id"), F.col("_class._digest").alias("_chosen"), "n_copies"), "near-duplicates", keep=True)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches_: int = SKETCHES, minima: int = MINIMA, k: int = K, more: int = MORE_SKETCHES) -> DataFrame:
-    """For every row: key, class_id (the least id of its class), n_links of its text, n_copies of its text."""
+    """For every row: key, class_id (the least id of its class), n_copies of its text."""
     rows = _rows(docs, key, text)
     known = _known(rows, similarity, sketches_, minima, k, more)
     found = rows.select("_id", "_digest").join(known, "_digest", "left")
     return found.select(
-        F.col("_id").alias(key), F.when(F.col("n_copies").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies")
+        F.col("_id").alias(key), F.when(F.col("n_copies").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies")
     )
 
 

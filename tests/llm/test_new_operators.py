@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import html_text, lexical_search, line_dedup, periodic_runs
+from sparkloom.llm import html_text, lexical_search, line_dedup, near_duplicates, periodic_runs
 from sparkloom.llm._shared import Scratch
 
 from .fixtures import frame, prose, texts
@@ -306,3 +306,56 @@ def test_each_rule_decides_labels(monkeypatch, setting, value):
     before = labels()
     monkeypatch.setattr(html_text, setting, value)
     assert labels() != before
+
+
+# Near-duplicates of few words
+
+
+def changed(draw, words, n):
+    words = list(words)
+    for _ in range(n):
+        kind = draw.choice("sid")
+        if kind == "i":
+            words.insert(draw.randint(0, len(words)), f"new{draw.randrange(10**6)}")
+        elif kind == "s":
+            words[draw.randrange(len(words))] = f"new{draw.randrange(10**6)}"
+        elif len(words) > 1:
+            del words[draw.randrange(len(words))]
+    return words
+
+
+def test_texts_of_few_words_share_a_segment_with_all_that_they_are_linked_to():
+    draw, links = random.Random(7), 0
+    for _ in range(4000):
+        one = [draw.randrange(1, draw.choice([6, 10**9])) for _ in range(draw.randint(1, 37))]
+        other = [int(re.sub("new", "", str(x))) for x in changed(draw, one, draw.randint(0, 7))]
+        if min(len(one), len(other)) >= near_duplicates.BRIEF or not near_duplicates.distance_within(np.array(one), np.array(other), near_duplicates.edits(max(len(one), len(other)), 0.8)):
+            continue
+        links += 1
+        found = [near_duplicates.segments(np.array(x, np.uint64) * np.uint64(0x9E3779B97F4A7C15), 0.8) for x in (one, other)]
+        assert found[0] & found[1], (one, other)
+    assert links > 1500
+
+
+def test_links_of_texts_of_few_words_are_all_found(spark):
+    """At the least similarity that a link may have, from 5 words on, and across the border to texts found by sketches alone."""
+    draw, rows, expected = random.Random(8), [], {}
+    for words in (5, 6, 8, 9, 10, 12, 15, 20, 25, 28, 29, 30, 33):
+        for _ in range(40):
+            one = [f"w{draw.randrange(10**6)}" for _ in range(words)]
+            other = changed(draw, one, near_duplicates.edits(words, 0.8))
+            longer = max(len(one), len(other))
+            key = len(rows)
+            rows += [(key, " ".join(one)), (key + 1, " ".join(other).upper())]
+            linked = near_duplicates.distance_within(*(np.array([hash(x.lower()) for x in w]) for w in (one, other)), near_duplicates.edits(longer, 0.8))
+            expected |= {key: (key, words), key + 1: (key if linked else key + 1, words)}
+    made = {r.doc_id: r.class_id for r in near_duplicates.classes(frame(spark, rows)).collect()}
+    missed = [words for k, (c, words) in expected.items() if made[k] != c]
+    assert not [w for w in missed if w < near_duplicates.BRIEF] and len(missed) <= 0.1 * 80
+
+
+def test_classes_don_t_depend_on_the_partitions(spark):
+    draw = random.Random(9)
+    rows = [(i, " ".join(changed(draw, prose(700 + i % 40, 20 + i % 60).split(" "), draw.randint(0, 4)))) for i in range(300)]
+    made = [sorted(map(tuple, near_duplicates.classes(frame(spark, rows).repartition(n)).collect())) for n in (2, 7)]
+    assert made[0] == made[1]
