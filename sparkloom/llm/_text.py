@@ -6,10 +6,12 @@ Everything here runs inside a Spark task on one bounded slice of rows. A slice h
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 512 << 10
@@ -113,8 +115,29 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+#: What the tasks of one stage share in a worker process: the stage, and values by name.
+_held: dict[str, Any] = {}
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """The value of that name, made once in a worker process and stage. It goes when the process sees a slice of another stage."""
+    _let_go()
+    if name not in _held:
+        _held[name] = make()
+    return _held[name]
+
+
+def _let_go() -> None:
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    if _held.get("stage") != stage:
+        _held.clear()
+        _held["stage"] = stage
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of whole rows, about limit bytes of text each."""
+    _let_go()
     _, offsets = text_bytes(batch.column(column))
     row = 0
     while row < batch.num_rows:

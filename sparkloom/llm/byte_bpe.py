@@ -195,7 +195,7 @@ class _Splitter:
         return out
 
 
-#: Pieces that a task keeps the ids of; at about 200 bytes each.
+#: Pieces of up to 64 characters that a worker process keeps the ids of, at about 200 bytes each, for the tasks of one stage.
 KEPT_PIECES = 200_000
 
 
@@ -300,7 +300,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", s
     names = carried.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder = _WordFolder(ranks_path, pattern)
+        folder = tx.held(f"pieces {ranks_path} {pattern}", lambda: _WordFolder(ranks_path, pattern))
         for batch in batches:
             for rows in tx.slices(batch, text):
                 ids = [folder.text(t or "") for t in rows.column(text).to_pylist()]
