@@ -8,7 +8,8 @@ the lexicon of the other two, so that they see it as new texts do. The fourth fo
 Scoring has no shuffle. The key, labels, language and source are never inputs of a score.
 
 Defined cases: null and empty texts have zero features and get a score as others do; where the labels at hand have one
-class only, the score is that label's; repeated rows are scored each; an empty table gives an empty result; further
+class only, or those of the trees' folds, or where there is none, the score is the share of label 1 (0 without labels); where the
+calibration's fold has one class or no row, the score is that of the trees alone; repeated rows are scored each; an empty table gives an empty result; further
 columns, such as score or held_out, are ignored.
 """
 
@@ -100,8 +101,11 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     if not bad or not good:
         return Lexicon(frozenset(), frozenset())
     words = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"(\p{L}+)"), 1))
-    cut = [F.transform(F.filter("w", lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("-"))) for k in BEGINNINGS]
-    units = F.array_distinct(F.concat("w", *cut))
+
+    def cut(k: int) -> Column:
+        return F.transform(F.filter("w", lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("-")))
+
+    units = F.array_distinct(F.concat("w", *map(cut, BEGINNINGS)))
     counts = rows.select("_toxic", words.alias("w")).select("_toxic", F.explode(units).alias("unit")).groupBy("unit").agg(F.sum("_toxic").alias("t"), F.count("*").alias("n"))
     p = F.col("n") / (bad + good)
     z = (F.col("t") / bad - (F.col("n") - F.col("t")) / good) / F.sqrt(p * (1 - p) * (1 / bad + 1 / good))
