@@ -204,6 +204,22 @@ def test_approximate_aggregates_are_near(spark):
         assert r.n == len(values) and abs(r.n_users - len(users)) <= 0.08 * len(users) + 2 and below - 0.002 <= 0.5 <= upto + 0.002
 
 
+def test_approximate_aggregates_are_held_against_exact_values(spark, tmp_path):
+    """Distinct users and the median are exact where sketches aren't, for a null type too, and a type without values is there."""
+    draw = random.Random(8)
+    rows = [(draw.choice(["a", None]), draw.choice([None, draw.randrange(6000)]), draw.choice([None, draw.randrange(40_000) / 8])) for _ in range(40_000)] + [("c", None, None), ("d", 1, 2.0), ("d", 1, 1.0)]
+    spark.createDataFrame(rows, "event_type string, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    expected = []
+    for kind in ("a", None, "c", "d"):
+        own = [r for r in rows if r[0] == kind]
+        values, users = sorted(v for _, _, v in own if v is not None), {u for _, u, _ in own if u is not None}
+        expected.append((kind, True, True, len(users), values[(len(values) - 1) // 2] if values else None, len(own)))
+    made = catalog.queries()["approximate_aggregates"](spark, str(tmp_path))
+    assert made.columns == ["event_type", "count_is_close", "median_is_close", "n_users", "mid", "n"]
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted(expected, key=repr)
+    assert "approximate_aggregates" in catalog.oracle_sql()
+
+
 # Table function
 
 
