@@ -1,8 +1,8 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words.
 
 encode() has two styles with the same results, and neither shuffles. With style="words" each worker process folds the
-distinct words of its rows itself, keeps what it has folded (a bounded number of pieces, for one task) and puts the texts
-together.
+distinct words of its rows itself, those of a slice together as rows of an array, keeps what it has folded (a bounded number
+of pieces, for the tasks of one stage) and puts the texts together.
 With style="higher_order" the fold is one of Spark's higher-order functions:
 
 1. Texts are taken in bounded batches. A batch becomes one row: its texts as numbers of its distinct words (the matches
@@ -25,10 +25,9 @@ import base64
 import functools
 import heapq
 import json
-import re
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -74,8 +73,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.cache
-def pair_table(path: str) -> tuple[list[int], list[int]]:
-    """offsets by left id, and entries left << 17 | rank (or -1) at offsets[left] + right."""
+def pair_arrays(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """offsets by left id, and entries left << 17 | rank (or -1) at offsets[left] + right. One more id has no pair on either side."""
     ranks = load_ranks(path)
     rows: dict[int, dict[int, int]] = {}
     for piece, rank in ranks.items():
@@ -86,7 +85,7 @@ def pair_table(path: str) -> tuple[list[int], list[int]]:
     width = max(ranks.values()) + 1
     room = 3 * sum(map(len, rows.values())) + width
     used = np.zeros(room + width, bool)
-    offsets = [0] * width
+    offsets = np.zeros(width + 1, np.int64)
     low, draw = 0, np.random.default_rng(0)
     for left, row in sorted(rows.items(), key=lambda x: -len(x[1])):
         right = np.fromiter(row, np.int64)
@@ -98,7 +97,12 @@ def pair_table(path: str) -> tuple[list[int], list[int]]:
     for left, row in rows.items():
         for right, rank in row.items():
             entries[offsets[left] + right] = left << 17 | rank
-    return offsets, entries.tolist()
+    return offsets, entries
+
+
+def pair_table(path: str) -> tuple[list[int], list[int]]:
+    offsets, entries = pair_arrays(path)
+    return offsets[:-1].tolist(), entries.tolist()
 
 
 def _literal(values: list[int], kind: T.DataType) -> Column:
@@ -150,8 +154,11 @@ def _batches(rows: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[
         yield pa.Table.from_batches(held)
 
 
-#: White space that isn't a single space or line feed between other characters.
-_ODD_SPACE = re.compile(r"[^\S \n]|\s\s|^\s|\s\Z").search
+def _odd_space(text: str) -> bool:
+    """Whether there is white space that isn't a single space or line feed between other characters, or nothing else."""
+    parts = text.split()
+    gaps = len(parts) - 1
+    return text.count(" ") + text.count("\n") != gaps or len(text) - sum(map(len, parts)) != gaps
 
 
 class _Splitter:
@@ -174,7 +181,7 @@ class _Splitter:
     def split(self, text: str) -> list[int]:
         if not text:
             return []
-        if _ODD_SPACE(text):
+        if _odd_space(text):
             return list(self.numbers(text))
         out: list[int] = []
         spaced, plain = self.spaced, self.plain
@@ -247,44 +254,132 @@ def _fold_long(pieces: list[bytes], ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in gone if p is not None]
 
 
+#: Words of up to so many bytes are folded together, so many at once; each group is filled up to the least of these lengths that holds it.
+_WIDTHS, _ROWS = (4, 6, 8, 10, 12, 16, 24, 32, 48), 1 << 14
+#: Fewer words than this are folded one by one.
+_FEW_WORDS = 64
+
+
+def fold_rows(ids: np.ndarray, ranks_path: str) -> np.ndarray:
+    """As fold_word for words of one row each: ids of their bytes, filled up at the end with the id that has no pair. In the result too."""
+    offsets, entries = pair_arrays(ranks_path)
+    fill = len(offsets) - 1
+
+    def rank(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        entry = entries[offsets[left] + right]
+        return np.where(entry >> 17 == left, entry & (NONE - 1), NONE)
+
+    made = np.full(ids.shape, fill, ids.dtype)
+    rows, near = np.arange(len(ids)), rank(ids[:, :-1], ids[:, 1:])
+    while len(rows):
+        width = ids.shape[1]
+        at = near.argmin(axis=1) if width > 1 else np.zeros(len(rows), np.int64)
+        low = near[np.arange(len(rows)), at] if width > 1 else np.full(len(rows), NONE)
+        over = low >= NONE
+        if over.any():
+            made[rows[over], :width] = ids[over]
+            rows, ids, near, at, low = (x[~over] for x in (rows, ids, near, at, low))
+            if not len(rows):
+                break
+        here, place = np.arange(len(rows)), np.arange(width - 1)
+        ids = np.take_along_axis(ids, place + (place > at[:, None]), axis=1)
+        ids[here, at] = low
+        near = np.take_along_axis(near, place[:-1] + (place[:-1] >= at[:, None]), axis=1)
+        some = np.flatnonzero(at > 0)
+        near[some, at[some] - 1] = rank(ids[some, at[some] - 1], low[some])
+        some = np.flatnonzero(at < width - 2)
+        near[some, at[some]] = rank(low[some], ids[some, at[some] + 1])
+    return made
+
+
 class _WordFolder:
-    """Encodes texts piece by piece; see _Splitter for what a piece is."""
+    """Encodes texts piece by piece. A piece is what stands between spaces, with the line feed before it if there is one."""
 
     def __init__(self, ranks_path: str, pattern: str):
-        self.ranks = load_ranks(ranks_path)
+        self.path, self.ranks = ranks_path, load_ranks(ranks_path)
+        self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.find = finder(pattern)
-        self.spaced: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
+
+    def fold(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words one after another, where each word's begin (and the last one's end), and each word's first byte."""
+        raw = list(map(str.encode, words))
+        whole = np.fromiter(map(self.ranks.get, raw, repeat(NONE)), np.int64, len(raw))
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        start = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        count, fill = np.ones(len(raw), np.int64), len(pair_arrays(self.path)[0]) - 1
+        folded, least = [], 0
+        for width in _WIDTHS:
+            group = np.flatnonzero((whole == NONE) & (size > least) & (size <= width))
+            least = width
+            for at in (group[i : i + _ROWS] for i in range(0, len(group), _ROWS)):
+                place = np.arange(width)
+                there = place < size[at][:, None]
+                ids = np.where(there, self.of_byte[data[np.minimum(start[at][:, None] + place, len(data) - 1)]], fill)
+                made = fold_rows(ids, self.path)
+                count[at] = (made != fill).sum(axis=1)
+                folded.append((at, made))
+        long = [(i, fold_word(raw[i], self.ranks)) for i in np.flatnonzero((whole == NONE) & (size > least)).tolist()]
+        for i, ids in long:
+            count[i] = len(ids)
+        begin = np.append(0, np.cumsum(count))
+        flat = np.empty(begin[-1], "<u4")
+        alone = np.flatnonzero(whole < NONE)
+        flat[begin[alone]] = whole[alone]
+        for at, made in folded:
+            real = made != fill
+            flat[(begin[at][:, None] + np.arange(made.shape[1]))[real]] = made[real]
+        for i, ids in long:
+            flat[begin[i] : begin[i + 1]] = ids
+        return flat, begin, data[start]
 
     def ids(self, piece: str) -> bytes:
-        ranks = self.ranks
-        return array("I", [i for w in self.find(piece) for i in fold_word(w.encode(), ranks)]).tobytes()
-
-    def text(self, text: str) -> bytes:
-        if not text or _ODD_SPACE(text):
-            return self.ids(text)
-        if len(self.spaced) + len(self.plain) > KEPT_PIECES:
+        words = self.find(piece)
+        if len(words) >= _FEW_WORDS:
+            return self.fold(words)[0].tobytes()
+        return array("I", [i for w in words for i in fold_word(w.encode(), self.ranks)]).tobytes()
+
+    def learn(self, new: list[str]) -> None:
+        """A single space or line feed before a piece always begins a match, so many pieces are given to the pattern as one text."""
+        plain = [p for p in new if p.isascii()]  # so that few have to be searched for newer letters
+        other = [p for p in new if not p.isascii()]
+        for part in (x[i : i + _ROWS] for x in (plain, other) for i in range(0, len(x), _ROWS)):
+            words = self.find("".join([p if p[0] == "\n" else " " + p for p in part]))
+            flat, begin, byte = self.fold(words)
+            first = np.flatnonzero((byte == 32) | (byte == 10))
+            if len(first) != len(part):
+                self.known.update((p, self.ids(p if p[0] == "\n" else " " + p)) for p in part)
+                continue
+            raw, cuts = flat.tobytes(), (np.append(begin[first], begin[-1]) * 4).tolist()
+            self.known.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) + len(self.first) > KEPT_PIECES:
             # Those that came first are the most frequent.
-            self.spaced, self.plain = (dict(islice(x.items(), KEPT_PIECES // 2)) for x in (self.spaced, self.plain))
+            self.known, self.first = (dict(islice(x.items(), KEPT_PIECES // 2)) for x in (self.known, self.first))
+        known, first = self.known, self.first
+        split = [None if _odd_space(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        begun = [p and p.pop(0) for p in split]
+        new = set().union(*filter(None, split)).difference(known)
+        self.learn(list(new))
         out = []
-        line_end = self._known(self.plain, "\n", "\n")
-        for n, line in enumerate(text.split("\n")):
-            if n:
-                out.append(line_end)
-            first, *pieces = line.split(" ")
-            out.append(self._known(self.plain, first, first))
-            try:
-                out.append(b"".join(map(self.spaced.__getitem__, pieces)))
-            except KeyError:
-                out += [self._known(self.spaced, p, " " + p) for p in pieces]
-        return b"".join(out)
-
-    def _known(self, store: dict[str, bytes], key: str, piece: str) -> bytes:
-        if key not in store:
-            if len(key) > 64:
-                return self.ids(piece)
-            store[key] = self.ids(piece)
-        return store[key]
+        for text, begin, pieces in zip(texts, begun, split, strict=True):
+            if pieces is None:
+                out.append(self.ids(text))
+                continue
+            if begin not in first:
+                first[begin] = self.ids(begin)
+            out.append(first[begin] + b"".join(map(known.__getitem__, pieces)))
+            if len(begin) > 64:
+                del first[begin]
+        for long in (p for p in new if len(p) > 64):
+            del known[long]
+        return out
+
+    def text(self, text: str) -> bytes:
+        return self.texts([text])[0]
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", style: str = "words", batch_bytes: int = BATCH_BYTES, decoded: bool = False) -> DataFrame:
@@ -303,7 +398,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", s
         folder = tx.held(f"pieces {ranks_path} {pattern}", lambda: _WordFolder(ranks_path, pattern))
         for batch in batches:
             for rows in tx.slices(batch, text):
-                ids = [folder.text(t or "") for t in rows.column(text).to_pylist()]
+                ids = folder.texts([t or "" for t in rows.column(text).to_pylist()])
                 made = {"ids": pa.array(ids, pa.binary())}
                 if decoded:
                     made["decoded"] = pa.array(concatenated(ids, ranks_path), pa.binary())

@@ -230,6 +230,30 @@ def test_pattern_knows_letters_as_the_library_does():
         assert np.frombuffer(folder.text(text), "<u4").tolist() == real.encode_ordinary(text)
 
 
+def test_words_of_a_slice_are_folded_together(monkeypatch):
+    """As one by one and as the library, for words of all lengths, few of which are folded alone, and with little kept."""
+    draw = random.Random(11)
+    letters = ["a", "e", "th", "er", "x", "Q", "7", "42", "é", "字", "😀", "-", "'s", "!!"]
+    words = ["".join(draw.choice(letters) for _ in range(draw.choice([1, 3, 6, 10, 40]))) for _ in range(6000)]
+    rows = [draw.choice(["", "\n", " "]) * (i % 9 == 0) + "".join(w + draw.choice([" ", " ", "\n"]) for w in words[i : i + 30])[: -(i % 8 > 0) or None] for i in range(0, 6000, 30)]
+    rows += ["", " ", "\n", "a", "a\x1cb c", "z" * 5000 + " end", " ".join(["word"] * 300), "tab\there"]
+    real = tiktoken.Encoding("real", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(BYTE_BPE), special_tokens={})
+    alone = []
+    fold_word = byte_bpe.fold_word
+    monkeypatch.setattr(byte_bpe, "fold_word", lambda w, ranks: (alone.append(w), fold_word(w, ranks))[1])
+    for kept in (200_000, 50):
+        monkeypatch.setattr(byte_bpe, "KEPT_PIECES", kept)
+        folder = byte_bpe._WordFolder(BYTE_BPE, public_tokenizers.PATTERN)
+        made = [ids for i in range(0, len(rows), 40) for ids in folder.texts(rows[i : i + 40])]
+        assert [np.frombuffer(x, "<u4").tolist() for x in made] == [real.encode_ordinary(t) for t in rows]
+        assert len(folder.known) < 20_000 and not any(len(p) > 64 for p in [*folder.known, *folder.first])
+    assert len(alone) < 6000
+    ids = [[byte_bpe.load_ranks(BYTE_BPE)[bytes([b])] for b in w.encode()] for w in words if len(w.encode()) == 12]
+    made = byte_bpe.fold_rows(np.array(ids), BYTE_BPE)
+    fill = len(byte_bpe.pair_arrays(BYTE_BPE)[0]) - 1
+    assert [[x for x in r if x != fill] for r in made.tolist()] == [fold_word(w.encode(), byte_bpe.load_ranks(BYTE_BPE)) for w in words if len(w.encode()) == 12]
+
+
 @pytest.fixture(scope="module")
 def library_ids():
     own = Tokenizer.from_file(WORD_BPE)
