@@ -12,7 +12,7 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from sparkloom.llm import byte_bpe, decontaminate, quality, repeated_text, token_counts, token_files
+from sparkloom.llm import byte_bpe, decontaminate, quality, repeated_text, token_counts, token_files, tokenizing
 from sparkloom.llm._shared import fresh_path
 from sparkloom.llm.queries import BYTE_BPE, WORD_BPE
 
@@ -260,6 +260,25 @@ def library_ids():
     return [(k, t or "", own.encode(t or "", add_special_tokens=False).ids) for k, t in texts()]
 
 
+def test_forms_of_a_word_are_asked_for_once(monkeypatch):
+    """Ids are the library's for words of all kinds; small and capital letters, commas and full stops need no question."""
+    own = Tokenizer.from_file(WORD_BPE)
+    draw = random.Random(12)
+    letters = ["a", "B", "th", "ER", "é", "É", "ß", "ÿ", "Þ", "÷", "×", "ª", "e\u0301", "İ", "ſ", "字", "7", "'", "'s", "-", "%%", ",", ".", "<|endoftext|>", "\x01", "\xa0"]
+    plain, common = letters[:9], letters[:3]
+    rows = [" ".join("".join(draw.choice(draw.choice([letters, plain, common])) for _ in range(draw.choice([1, 2, 5, 40]))) + draw.choice(["", ",", ".", ",.", "..", ".'s"]) for _ in range(60)) for _ in range(60)]
+    monkeypatch.setattr(tokenizing, "GROUP", 50)
+    for kept in (500_000, 20):
+        monkeypatch.setattr(tokenizing, "CACHED_WORDS", kept)
+        made = tokenizing.JsonTokenizer(WORD_BPE)
+        for i in range(0, 60, 10):
+            assert [np.frombuffer(x, "<u4").tolist() for x in made.encode([t.encode() for t in rows[i : i + 10]])] == [e.ids for e in own.encode_batch(rows[i : i + 10], add_special_tokens=False)]
+    made = tokenizing.JsonTokenizer(WORD_BPE)
+    made.encode([b"strange"])
+    monkeypatch.setattr(tokenizing.JsonTokenizer, "_cut", None)
+    assert np.frombuffer(made.encode([b"Strange strange, STRANGE. strange."])[0], "<u4").tolist() == own.encode("Strange strange, STRANGE. strange.", add_special_tokens=False).ids
+
+
 def test_token_counts_and_their_cache(spark, library_ids):
     cache = fresh_path(spark, "cache")
     expected = pairs((k, len(t.encode()), len(i), len(i) > 2048) for k, t, i in library_ids)
