@@ -13,7 +13,7 @@ back at the end. The leader of a bucket is its least node; each text is first co
 buckets with, which settles most buckets with one comparison a text and decides nothing by itself. Then all pairs of a bucket whose ends are still in different
 components are compared: by block against block of at most about BLOCK texts a side, where pairs are passed over only if
 their lengths or their bags of words rule a link out, and those that are left are aligned unless links have joined them in the
-meantime. So no pair that shares a sketch is left out, and classes are the components of all links between such texts. Buckets only exist as rows, joined by
+meantime. The largest component of a bucket is met in blocks of its own, once for all its buckets. So no pair that shares a sketch is left out, and classes are the components of all links between such texts. Buckets only exist as rows, joined by
 their keys, so a bucket of any size is spread.
 
 Defined cases: null and empty texts, and texts without words, are classes of their own; texts under five words count as
@@ -392,36 +392,57 @@ def _bags(sequences: DataFrame) -> DataFrame:
     return sequences.select(*kept, "words").mapInArrow(run, f"node bigint, label bigint, places {sequences.schema['places'].dataType.simpleString()}, n bigint, bag binary")
 
 
-_BLOCK_KEY = ["bucket", "i", "j"]
+_BLOCK_KEY = ["of", "block", "i", "j"]
+_BUCKET, _COMPONENT = 0, 1
 
 
 def _blocks(members: DataFrame, labels: DataFrame, sequences: DataFrame, store: Scratch) -> DataFrame:
-    """Rows of blocks (bucket, i, j) in which every pair of a bucket with ends in different components meets.
+    """Rows of blocks (of, block, i, j) in which every pair of a bucket with ends in different components meets.
 
-    First are the texts outside of the bucket's largest component, by i; they meet all texts of the bucket, by j.
+    The texts outside of a bucket's largest component meet each other in blocks of the bucket, and that component's texts in
+    blocks of the component, where a text stands once for all the buckets that it shares. So pairs without a common bucket
+    meet there too, and have to be left out before they are aligned. First are the texts outside, by i; they meet those by j,
+    in blocks of a bucket, where both are the same texts, only from i on.
     """
-    known = members.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    of_node = labels.select(F.col("id").alias("node"), "label")
+    known = members.join(of_node, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     parts = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     parts = parts.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    counts = parts.select("bucket", F.col("largest.label").alias("largest"), F.ceil(F.col("all") / BLOCK).alias("js"), F.ceil((F.col("all") - F.col("largest.n")) / BLOCK).alias("is"))
-    open_ = known.join(counts, "bucket").select("node", "label", F.struct("bucket", (F.col("label") == F.col("largest")).alias("main"), "js", "is").alias("place"))
-    own = open_.groupBy("node", "label").agg(F.collect_list("place").alias("places"))  # as many as a text has sketches
-    bags = store.table(_bags(sequences.join(own, "node")), "bags")
+    rest = F.when(F.col("parts") > 2, F.ceil((F.col("all") - F.col("largest.n")) / BLOCK))
+    counts = parts.select("bucket", F.col("largest.label").alias("largest"), rest.alias("rest"))
+    outside = known.join(counts, "bucket").where("label <> largest")
+    in_bucket = F.when(F.col("rest").isNotNull(), F.struct("bucket", "rest"))
+    own = outside.groupBy("node", "label").agg(F.collect_list(in_bucket).alias("buckets"), F.collect_set("largest").alias("largest"))  # as many as a text has sketches
+    own = store.table(own, "outside")
+    near = own.select("node", "label", F.explode("largest").alias("block"))
+    every = sequences.select("node").join(of_node, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    sizes = near.groupBy("block").agg(F.count("*").alias("outside")).join(every.groupBy(F.col("label").alias("block")).agg(F.count("*").alias("inside")), "block")
+    sizes = store.table(sizes.select("block", F.ceil(F.col("outside") / BLOCK).alias("is"), F.ceil(F.col("inside") / BLOCK).alias("js")), "sizes")
+
+    def place(of: int, block: str, i: str, j: str, first: bool, second: bool) -> Column:
+        columns = {"of": F.lit(of).cast("bigint"), "block": F.col(block), "is": F.col(i), "js": F.col(j), "first": F.lit(first), "second": F.lit(second)}
+        return F.struct(*(c.alias(name) for name, c in columns.items())).alias("place")
+
+    places = own.select("node", "label", F.explode("buckets").alias("in")).select("node", "label", place(_BUCKET, "in.bucket", "in.rest", "in.rest", True, True))
+    places = places.unionByName(near.join(sizes, "block").select("node", "label", place(_COMPONENT, "block", "is", "js", True, False)))
+    places = places.unionByName(every.join(sizes, F.col("label") == F.col("block")).select("node", "label", place(_COMPONENT, "block", "is", "js", False, True)))
+    places = places.groupBy("node", "label").agg(F.collect_list("place").alias("places"))
+    bags = store.table(_bags(sequences.join(places, "node")), "bags")
+    store.drop(own, sizes)
     salt = F.xxhash64("node")
 
     def cells(place: Column) -> Column:
         def cell(i: Column, j: Column, first: bool) -> Column:
-            return F.struct(place["bucket"].alias("bucket"), place["main"].alias("main"), i.alias("i"), j.alias("j"), F.lit(first).alias("first"))
+            return F.struct(place["of"].alias("of"), place["block"].alias("block"), i.alias("i"), j.alias("j"), F.lit(first).alias("first"))
 
-        def upto(n: Column) -> Column:
-            return F.sequence(F.lit(0).cast("bigint"), n - 1)
-
-        others = F.transform(upto(place["is"]), lambda i: cell(i, F.pmod(salt, place["js"]), False))
-        firsts = F.transform(upto(place["js"]), lambda j: cell(F.pmod(salt, place["is"]), j, True))
-        return F.when(place["main"], others).otherwise(F.concat(others, firsts))
+        own_i, own_j, zero, both = F.pmod(salt, place["is"]), F.pmod(salt, place["js"]), F.lit(0).cast("bigint"), place["first"] & place["second"]
+        seconds = F.transform(F.sequence(zero, F.when(both, own_j).otherwise(place["is"] - 1)), lambda i: cell(i, own_j, False))
+        firsts = F.transform(F.sequence(F.when(both, own_i).otherwise(zero), place["js"] - 1), lambda j: cell(own_i, j, True))
+        return F.when(both, F.concat(seconds, firsts)).when(place["first"], firsts).otherwise(seconds)
 
     rows = bags.withColumn("cell", F.explode(F.flatten(F.transform("places", cells))))
-    return rows.select("cell.*", "node", "label", "n", "bag", F.col("places.bucket").alias("others"))
+    buckets = F.transform(F.filter("places", lambda p: p["of"] == _BUCKET), lambda p: p["block"])
+    return rows.select("cell.*", "node", "label", "n", "bag", F.when(F.col("cell.of") == _BUCKET, buckets).alias("others"))
 
 
 def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,11 +464,11 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet_earlier(block: pa.RecordBatch, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which rows of x and y also share a bucket with a lesser key."""
+    """Which rows of x and y also share a bucket with a lesser key, in a block of a bucket."""
     lists = block.column("others")
     row = np.repeat(np.arange(block.num_rows), np.diff(lists.offsets.to_numpy()))
     others = lists.flatten().to_numpy()
-    earlier = others < block.column("bucket")[0].as_py()
+    earlier = others < block.column("block")[0].as_py()
     _, number, count = np.unique(others[earlier], return_inverse=True, return_counts=True)
     row, number = row[earlier][count[number] > 1], (np.cumsum(count > 1) - 1)[number[count[number] > 1]]
     met = np.zeros((len(x), len(y)), bool)
@@ -462,18 +483,21 @@ def _meet_earlier(block: pa.RecordBatch, x: np.ndarray, y: np.ndarray) -> np.nda
 def _possible(block: pa.RecordBatch, similarity: float) -> list[tuple[int, int]]:
     """Nodes of the pairs of a block that have ends in different components, and lengths and bags that allow a link.
 
-    A pair that shares several buckets counts in the one with the least key.
+    A pair that meets in the blocks of several buckets counts in the one with the least key.
 
     An edit changes one word, so a link needs all but (1 - similarity) of the longer text's words in common, and no more
     words are in common than the bins of both bags are.
     """
-    first, main = (block.column(c).to_numpy(zero_copy_only=False) for c in ("first", "main"))
+    first = block.column("first").to_numpy(zero_copy_only=False)
     nodes, labels, n = (block.column(c).to_numpy() for c in ("node", "label", "n"))
     x, y = np.flatnonzero(first), np.flatnonzero(~first)
     longer = np.maximum(n[x][:, None], n[y])
     limit = ((1 - similarity) * longer + 1e-9).astype(np.int64)
-    wanted = (labels[x][:, None] != labels[y]) & (main[y] | (nodes[x][:, None] < nodes[y])) & (np.abs(n[x][:, None] - n[y]) <= limit)
-    wanted &= ~_meet_earlier(block, x, y)
+    wanted = (labels[x][:, None] != labels[y]) & (np.abs(n[x][:, None] - n[y]) <= limit)
+    if block.column("of")[0].as_py() == _BUCKET:
+        if block.column("i")[0] == block.column("j")[0]:
+            wanted &= nodes[x][:, None] < nodes[y]
+        wanted &= ~_meet_earlier(block, x, y)
     if not wanted.any():
         return []
     bags = block.column("bag")
@@ -504,13 +528,16 @@ def _links_across(members: DataFrame, labels: DataFrame, sequences: DataFrame, s
                 yield pa.RecordBatch.from_arrays([*key, *own], names=[*_BLOCK_KEY, "node", "label", "partners"])
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links that join components of the block; what earlier links of the block have joined isn't aligned again."""
+        """Links that join components of the block; what earlier links of the block have joined isn't aligned again.
+
+        In blocks of a component only texts that share a bucket are aligned."""
         unpack = zstandard.ZstdDecompressor()
         for block in _by_block(batches):
             nodes = block.column("node").to_pylist()
             packed = dict(zip(nodes, block.column("words").to_pylist(), strict=True))
             label = dict(zip(nodes, block.column("label").to_pylist(), strict=True))
             above = {x: x for x in label.values()}
+            buckets = dict(zip(nodes, map(frozenset, block.column("buckets").to_pylist()), strict=True)) if block.column("of")[0].as_py() == _COMPONENT else None
 
             def top(x: int, above=above) -> int:
                 while above[x] != x:
@@ -521,6 +548,8 @@ def _links_across(members: DataFrame, labels: DataFrame, sequences: DataFrame, s
             for a, partners in zip(nodes, block.column("partners").to_pylist(), strict=True):
                 words = np.frombuffer(unpack.decompress(packed[a]), "<u4") if partners else None
                 for b in partners or ():
+                    if buckets is not None and buckets[a].isdisjoint(buckets[b]):
+                        continue
                     one, other = top(label[a]), top(label[b])
                     if one != other and similar(words, np.frombuffer(unpack.decompress(packed[b]), "<u4"), similarity):
                         above[one] = other
@@ -529,8 +558,12 @@ def _links_across(members: DataFrame, labels: DataFrame, sequences: DataFrame, s
                 yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*good, strict=True)], names=["a", "b"])
 
     together = _blocks(members, labels, sequences, store).repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
-    work = store.table(together.mapInArrow(possible, "bucket bigint, i bigint, j bigint, node bigint, label bigint, partners array<bigint>"), "work")
-    work = work.join(sequences.select("node", "words"), "node").repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
+    work = store.table(together.mapInArrow(possible, "of bigint, block bigint, i bigint, j bigint, node bigint, label bigint, partners array<bigint>"), "work")
+    apart = store.table(work.where(F.col("of") == _COMPONENT).select("node").distinct(), "apart")
+    apart = F.broadcast(apart) if apart.count() <= BROADCAST_ROWS else apart
+    buckets = members.join(apart, "node", "left_semi").groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+    work = work.join(sequences.select("node", "words"), "node").join(buckets, "node", "left")
+    work = work.withColumn("buckets", F.when(F.col("of") == _COMPONENT, F.col("buckets"))).repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
     return work.mapInArrow(aligned, "a bigint, b bigint")
 
 

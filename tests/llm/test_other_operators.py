@@ -7,7 +7,9 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from sparkloom.llm import chat_format, html_text, near_duplicates, toxicity
@@ -125,6 +127,52 @@ def test_texts_behind_the_last_leader_are_compared(spark):
     in_one_bucket(spark, rows)
 
 
+def block_tables(spark, shared, label_of, words=None):
+    """members, labels and sequences of nodes with these buckets; texts are alike unless words are given."""
+    def packed(node):
+        text = (words or {}).get(node, range(50))
+        return node, len(text), zstandard.ZstdCompressor().compress(np.array(text, "<u4").tobytes())
+
+    members = spark.createDataFrame([(n, b) for n, buckets in shared.items() for b in buckets], "node bigint, bucket bigint")
+    labels = spark.createDataFrame(list(label_of.items()), "id bigint, label bigint")
+    return members, labels, spark.createDataFrame([packed(n) for n in shared], "node bigint, n bigint, words binary")
+
+
+def test_the_largest_component_stands_once_for_all_its_buckets(spark):
+    """One text outside shares 20 buckets with a component of 40."""
+    shared = {n: range(20) for n in range(41)}
+    with Scratch(spark) as store:
+        rows = near_duplicates._blocks(*block_tables(spark, shared, dict.fromkeys(range(40), 0)), store).collect()
+    assert sorted((r.node, r.first) for r in rows) == [*((n, False) for n in range(40)), (40, True)]
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_every_pair_across_components_meets(spark, monkeypatch, block):
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    draw = random.Random(block)
+    shared = {n: draw.sample(range(12), draw.randint(1, 3)) for n in range(60)}
+    label_of = {n: draw.choice([0, 0, 1, 2, 3, n]) for n in range(60)}
+    label_of |= {x: x for x in label_of.values()}
+    with Scratch(spark) as store:
+        blocks = near_duplicates._blocks(*block_tables(spark, shared, label_of), store).toPandas()
+    met = set()
+    for _, rows in blocks.groupby(near_duplicates._BLOCK_KEY):
+        met |= {tuple(sorted(p)) for p in near_duplicates._possible(pa.RecordBatch.from_pandas(rows, preserve_index=False), 0.8)}
+    wanted = {(a, b) for a in shared for b in shared if a < b and label_of[a] != label_of[b] and set(shared[a]) & set(shared[b])}
+    assert wanted <= met
+
+
+def test_texts_of_a_component_without_a_common_bucket_are_not_linked(spark):
+    """Text 3 shares a bucket with text 0, which is another text, but none with text 1, which is the same one."""
+    shared = {0: [7], 1: [8], 2: [7, 8], 3: [7]}
+    tables = block_tables(spark, shared, dict.fromkeys(range(3), 0), {0: range(100, 150), 2: range(100, 150)})
+    for more, links in ({}, []), ({1: [7, 8]}, [(3, 1)]):
+        members = block_tables(spark, shared | more, {})[0]
+        with Scratch(spark) as store:
+            made = near_duplicates._links_across(members, *tables[1:], 0.8, store).collect()
+        assert [tuple(r) for r in made] == links
+
+
 def test_one_of_each_class_stays(spark):
     rows = near_rows()
     docs = frame(spark, rows)
